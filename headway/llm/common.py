@@ -42,8 +42,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def word_list(text: Column) -> Column:
     """Array of the maximal runs of characters outside WHITE; null gives an empty array."""
-    flat = F.translate(F.coalesce(text, F.lit("")), WHITE[1:], " " * (len(WHITE) - 1))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
+    return F.when(t == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(t, r"[\x20\x09-\x0D]+"))
 
 
 def word_count(text: Column) -> Column:

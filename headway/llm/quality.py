@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from headway.llm.common import WHITE, word_list
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_ends")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_ends")
 #: Rule i owns bit i. Ratios are compared by integer products, so every engine decides alike.
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
@@ -26,7 +26,7 @@ RULES: dict[str, str] = {
     "short_words": "word_chars < 3 * n_words",
     "long_words": "word_chars > 12 * n_words",
     "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
-    "shouting": "10 * n_upper > 5 * n_letters",
+    "shouting": "10 * n_upper > 5 * word_chars",
     "exclaiming": "5 * n_ends > n_words",
 }
 BASE = ("few_words", "repeated_words")
@@ -40,12 +40,27 @@ def mask(rules: tuple[str, ...]) -> int:
 
 
 def _measured(documents: DataFrame, text_col: str) -> DataFrame:
-    """The rows with __t (text), __w (words) and __s (word triples as (hash, start), sorted)."""
+    """The rows with __t (text), __w (words), __h (hash of the word triple from each word on) and __d (hashes
+    that come more than once)."""
     rows = documents.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
     rows = rows.withColumn("__w", word_list(F.col("__t")))
     w = F.col("__w")
-    triples = F.transform(w, lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    return rows.withColumn("__s", F.sort_array(F.slice(triples, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))))
+    triples = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    rows = rows.withColumn("__h", F.slice(triples, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))))
+    again = F.transform(F.array(F.sort_array("__h")), lambda s: F.filter(s, lambda x, k: x == F.get(s, k - 1)))
+    return rows.withColumn("__d", F.array_distinct(F.element_at(again, 1)))
+
+
+def _covered() -> Column:
+    """Number of words in a triple that comes more than once. A few such triples are looked up; many are
+    found as neighbours of the sorted (hash, place) array, so a long text costs n log n."""
+    h, d = F.col("__h"), F.col("__d")
+    few = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i)), lambda i: i.isNotNull())
+    pairs = F.array(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    flagged = F.element_at(F.transform(pairs, lambda s: F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"]))), 1)
+    many = F.filter(flagged, lambda i: i.isNotNull())
+    words = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
+    return F.when(F.size(d) == 0, F.lit(0)).when(F.size(d) <= 16, words(few)).otherwise(words(many))
 
 
 def ledger(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -56,32 +71,19 @@ def ledger(documents: DataFrame, text_col: str = "text") -> DataFrame:
     matter. A column of documents that has the name of a ledger column is replaced by it.
     """
     rows = _measured(documents, text_col)
-    t, w, s = F.col("__t"), F.col("__w"), F.col("__s")
-
-    def chars_without(drop: str) -> Column:
-        return F.char_length(F.translate(t, drop, ""))
-
-    n = F.char_length(t)
+    t, w = F.col("__t"), F.col("__w")
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    again = F.transform(
-        F.filter(F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), ((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])).alias("d"))), lambda x: x["d"]),
-        lambda x: x["i"],
-    )
-    covered = F.array_distinct(F.flatten(F.transform(again, lambda i: F.array(i, i + 1, i + 2))))
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    n_upper = n - chars_without(upper)
     measures = {
         "n_words": F.size(w),
-        "word_chars": chars_without(WHITE),
-        "n_symbols": n - chars_without("#*$%&|<>"),
+        "word_chars": F.char_length(F.array_join(w, "")),
+        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")),
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": F.size(covered),
-        "n_upper": n_upper,
-        "n_letters": n_upper + n - chars_without(lower),
-        "n_ends": n - chars_without("!?"),
+        "n_repeat_words": _covered(),
+        "n_upper": F.regexp_count(t, F.lit("[A-Z]")),
+        "n_ends": F.regexp_count(t, F.lit("[!?]")),
     }
-    rows = rows.withColumns({k: v.cast("bigint") for k, v in measures.items()}).drop("__t", "__w", "__s")
+    rows = rows.withColumns({k: v.cast("bigint") for k, v in measures.items()}).drop("__t", "__w", "__h", "__d")
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, rule in enumerate(RULES.values())]
     return rows.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 

@@ -122,10 +122,10 @@ c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i +
 m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
       CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
       CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-      length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters,
+      length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
       length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_ends FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
 b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (word_chars < 3 * n_words)::INT
-      + 16 * (word_chars > 12 * n_words)::INT + 32 * (10 * n_dup_lines > 3 * n_lines)::INT + 64 * (10 * n_upper > 5 * n_letters)::INT + 128 * (5 * n_ends > n_words)::INT AS BIGINT) AS fail_bits FROM m)
+      + 16 * (word_chars > 12 * n_words)::INT + 32 * (10 * n_dup_lines > 3 * n_lines)::INT + 64 * (10 * n_upper > 5 * word_chars)::INT + 128 * (5 * n_ends > n_words)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b""",
     "op4_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
