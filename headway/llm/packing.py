@@ -88,15 +88,10 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, bins: int = BINS, most_d
             need: dict[int, int] = {}
             for k in kinds[j]:
                 need[k] = need.get(k, 0) + 1
-            take, times = [], todo
-            for k, m in need.items():
-                if left[k]:
-                    n, c = left[k][-1]
-                    m = min(m, c)
-                    take.append((k, n, m))
-                    times = min(times, c // m)
-            if not take:
-                break
+            take = [(k, left[k][-1][0], min(m, left[k][-1][1])) for k, m in need.items() if left[k]]
+            times = min([todo, *(left[k][-1][1] // m for k, _, m in take)])
+            if len(take) < len(need) or any(m < need[k] and len(left[k]) < 2 for k, _, m in take):
+                break  # too few pieces are left for the pattern
             for k, _, m in take:
                 left[k][-1][1] -= m * times
                 if not left[k][-1][1]:

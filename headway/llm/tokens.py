@@ -9,6 +9,7 @@ the whole text comes out; texts where a cut could matter go to the library whole
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +53,40 @@ class PieceEncoder:
         self.most = most
         self.young: dict = {}
         self.old: dict = {}
+        # bytes that each id stands for: a vocabulary string has one character for each, and perhaps a word end
+        vocab = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token.removesuffix("</w>") if self.split == "word" else token)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Pieces that can stand in one text without touching are encoded as one text
+        and told apart by the bytes their ids stand for; if that doesn't come out even, one by one."""
+        if self.split == "word":
+            joins = [p != "" and "<|" not in p and (p.isascii() or unicodedata.is_normalized("NFC", p)) for p in pieces]
+            size = lambda p: len(p.lower().encode())
+        else:
+            joins = [len(p) > 1 and p[0] == " " and "<|" not in p and not p[1].isspace() and not p[-1].isspace() for p in pieces]
+            size = lambda p: len(p.encode())
+        together = [p for p, j in zip(pieces, joins, strict=True) if j]
+        out: list[bytes | None] = [None] * len(pieces)
+        if len(together) > 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.split == "word" else "").join(together)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([size(p) for p in together])
+            reached = np.cumsum(self.n_bytes[ids])
+            at = np.searchsorted(reached, ends)
+            if len(reached) and reached[-1] == ends[-1] and (reached[np.minimum(at, len(reached) - 1)] == ends).all():
+                data, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+                parts = iter([data[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+                out = [next(parts) if j else None for j in joins]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
     def _lookup(self, pieces: list[str], counts: bool) -> list:
         young, old = self.young, self.old
         out = [young.get(p) for p in pieces]
@@ -69,8 +100,8 @@ class PieceEncoder:
                     out[i] = young[p] = x
         for k in range(0, len(missing), 20_000):
             part = missing[k : k + 20_000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = young[pieces[i]] = len(e) if counts else np.array(e.ids, "<u4").tobytes()
+            for i, ids in zip(part, self._encode_pieces([pieces[i] for i in part]), strict=True):
+                out[i] = young[pieces[i]] = len(ids) // 4 if counts else ids
         if len(young) > self.most:
             self.old, self.young = young, {}
         return out
