@@ -4,7 +4,507 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from headway import constants as C
+from headway.functions import clock, geo, polyline
+from headway.operators import itinerary, raptor, spatial, walking
+from headway.plans import journeys
+from headway.plans.lineage import cut
+from headway.sources import gtfs, registry, timetable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+DOW, START_S, END_S, ROUNDS = 3, 28_800, 36_000, 4
+R = C.EARTH_RADIUS_M
+# The derived timetable in DuckDB.
+STOPS = f"""s0 AS (SELECT s_suppkey AS stop_id, 47.5::DOUBLE + (s_suppkey % 10)::DOUBLE * 0.004::DOUBLE AS lat, -122.4::DOUBLE + ((s_suppkey // 10) % 10)::DOUBLE * 0.004::DOUBLE + (s_suppkey // 100)::DOUBLE * 0.05::DOUBLE AS lon FROM supplier),
+stops AS (SELECT *, {R}::DOUBLE * cos(radians(lat)) * sin(radians(lon)) AS x, {R}::DOUBLE * cos(radians(lat)) * cos(radians(lon)) AS y, {R}::DOUBLE * sin(radians(lat)) AS z FROM s0)"""
+D = "round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6)"
+TRANSFERS = f"tr AS (SELECT a.stop_id AS from_stop, b.stop_id AS to_stop, {D} AS d, CAST(floor(floor({D} * 1000.0::DOUBLE) / 1400) AS BIGINT) AS secs FROM stops a JOIN stops b ON a.stop_id <> b.stop_id AND {D} <= 1000)"
+LINES = """ls AS (SELECT line_id, stop_id, seq FROM (SELECT n_nationkey::BIGINT AS line_id, s_suppkey AS stop_id, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY (s_suppkey * 7919 + n_nationkey * 4729) % 10007, s_suppkey) - 1 AS INTEGER) AS seq
+  FROM nation JOIN supplier ON s_nationkey = n_nationkey OR s_suppkey % 5 IN (n_nationkey % 5, (n_nationkey + 1) % 5)) WHERE seq < 20)"""
+TRIPS = "trips AS (SELECT o_orderkey AS trip_id, c_nationkey::BIGINT AS line_id, CAST(o_orderkey % 7 AS INTEGER) AS dow, 18000 + (o_orderkey * 613 % 1140) * 60 AS start_s FROM orders JOIN customer ON o_custkey = c_custkey)"
+TIMES = f"st AS (SELECT trip_id, line_id, seq, stop_id, start_s + seq * 180 AS arr, start_s + seq * 180 + 20 AS dep FROM trips JOIN ls USING (line_id) WHERE dow = {DOW})"
+BASE = f"{STOPS}, {TRANSFERS}, {LINES}, {TRIPS}, {TIMES}"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _points(tt: timetable.Timetable) -> DataFrame:
+    """A point near every fifth stop."""
+    return geo.with_cartesian(tt.stops.where("stop_id % 5 = 0").select(F.col("stop_id").alias("query_id"), (F.col("lat") + F.lit(0.001)).alias("lat"), (F.col("lon") + F.lit(0.001)).alias("lon")))
+
+
+POINTS = f"p0 AS (SELECT stop_id AS query_id, lat + 0.001::DOUBLE AS lat, lon + 0.001::DOUBLE AS lon FROM s0 WHERE stop_id % 5 = 0), pts AS (SELECT *, {R}::DOUBLE * cos(radians(lat)) * sin(radians(lon)) AS x, {R}::DOUBLE * cos(radians(lat)) * cos(radians(lon)) AS y, {R}::DOUBLE * sin(radians(lat)) AS z FROM p0)"
+
+
+@query(f"WITH {STOPS} SELECT stop_id, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM stops")
+def stops_cartesian(spark, sf_dir):
+    return timetable.derived(spark, sf_dir).stops.select("stop_id", *[F.round(c, 3).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {STOPS} SELECT stop_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM stops")
+def cartesian_roundtrip(spark, sf_dir):
+    s = timetable.derived(spark, sf_dir).stops
+    return s.select("stop_id", F.round(geo.lat_of(F.col("z")), 6).alias("lat"), F.round(geo.lon_of(F.col("x"), F.col("y")), 6).alias("lon"))
+
+
+@query(f"WITH {STOPS}, {POINTS}, n AS (SELECT query_id, stop_id, {D} AS d FROM pts a JOIN stops b ON {D} <= 1000) SELECT query_id, stop_id, round(d, 3) AS d FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, stop_id) <= 5000")
+def nearby_stops(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    return spatial.nearby(_points(tt), tt.stops).select("query_id", "stop_id", F.round("d", 3).alias("d"))
+
+
+@query(f"WITH {STOPS}, {POINTS}, n AS (SELECT query_id, stop_id, {D} AS d FROM pts a JOIN stops b ON {D} <= 1500) SELECT query_id, stop_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, stop_id) AS INTEGER) AS rank FROM n QUALIFY rank <= 3")
+def nearest_k_stops(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    return spatial.nearby(_points(tt), tt.stops, C.ACCESS_RADIUS_M, 3).select("query_id", "stop_id", "rank")
+
+
+@query(f"WITH {STOPS}, {POINTS} SELECT query_id, stop_id, CAST(floor({D} * 2.0::DOUBLE) AS BIGINT) AS cost FROM pts a JOIN stops b ON {D} <= 1500")
+def access_costs(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    return spatial.nearby(_points(tt), tt.stops, C.ACCESS_RADIUS_M).select("query_id", "stop_id", geo.access_seconds(F.col("d")).alias("cost"))
+
+
+@query(f"WITH {STOPS}, {POINTS} SELECT query_id, stop_id, round(2 * {R} * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS d FROM pts a JOIN stops b ON {D} <= 1000")
+def great_circle_distances(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    return spatial.within(_points(tt), tt.stops, C.NEARBY_RADIUS_M).select(F.col("a.query_id").alias("query_id"), F.col("b.stop_id").alias("stop_id"), F.round(geo.great_circle(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")), 3).alias("d"))
+
+
+@query(f"WITH {STOPS}, {TRANSFERS} SELECT from_stop, to_stop, round(d, 3) AS d FROM tr")
+def transfer_candidates(spark, sf_dir):
+    return spatial.transfers(timetable.derived(spark, sf_dir).stops).select("from_stop", "to_stop", F.round("d", 3).alias("d"))
+
+
+@query(f"WITH {STOPS}, {TRANSFERS} SELECT from_stop, to_stop, secs FROM tr")
+def transfer_times(spark, sf_dir):
+    return spatial.transfers(timetable.derived(spark, sf_dir).stops).select("from_stop", "to_stop", "secs")
+
+
+@query(f"WITH {STOPS}, {TRANSFERS}, c AS (SELECT stop_id, count(to_stop) AS n FROM stops LEFT JOIN tr ON from_stop = stop_id GROUP BY stop_id) SELECT count(*) AS stops, CAST(sum(n) AS BIGINT) AS transfers, round(avg(n), 6) AS mean, max(n) AS most FROM c")
+def transfer_fanout(spark, sf_dir):
+    s = timetable.derived(spark, sf_dir).stops
+    n = spatial.transfers(s).groupBy(F.col("from_stop").alias("stop_id")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("stop_id").join(n, "stop_id", "left").select(F.coalesce("n", F.lit(0)).alias("n")).agg(F.count(F.lit(1)).alias("stops"), F.sum("n").alias("transfers"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"))
+
+
+@query(f"WITH {STOPS}, {TRANSFERS} SELECT stop_id, coalesce(string_agg(to_stop || ':' || secs, ' ' ORDER BY to_stop), '') AS transfers FROM stops LEFT JOIN tr ON from_stop = stop_id GROUP BY stop_id")
+def stop_debug(spark, sf_dir):
+    s = timetable.derived(spark, sf_dir).stops
+    t = spatial.transfers(s).groupBy(F.col("from_stop").alias("stop_id")).agg(F.array_sort(F.collect_list(F.struct("to_stop", "secs"))).alias("t"))
+    return s.select("stop_id").join(t, "stop_id", "left").select("stop_id", F.coalesce(F.array_join(F.transform("t", lambda x: F.concat_ws(":", x["to_stop"].cast("string"), x["secs"].cast("string"))), " "), F.lit("")).alias("transfers"))
+
+
+@query(f"WITH {LINES}, {TRIPS}, p AS (SELECT trip_id, line_id, string_agg(stop_id, '>' ORDER BY seq) AS stops FROM trips JOIN ls USING (line_id) GROUP BY trip_id, line_id), k AS (SELECT line_id, stops, min(trip_id) AS first_trip, count(*) AS n_trips FROM p GROUP BY line_id, stops) SELECT row_number() OVER (ORDER BY line_id, stops) - 1 AS pattern_id, line_id, stops, first_trip, n_trips FROM k")
+def stop_patterns(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    times = tt.stop_times.select("trip_id", F.col("seq").alias("stop_sequence"), "stop_id")
+    ids = gtfs.pattern_ids(gtfs.patterns(times, tt.trips.withColumn("route_id", F.col("line_id"))))
+    return ids.select("pattern_id", F.col("route_id").alias("line_id"), F.array_join(F.transform("stop_ids", lambda x: x.cast("string")), ">").alias("stops"), "first_trip", "n_trips")
+
+
+@query(f"WITH {LINES} SELECT line_id, stop_id, seq FROM ls")
+def pattern_stops(spark, sf_dir):
+    return timetable.derived(spark, sf_dir).line_stops
+
+
+@query(f"WITH {LINES} SELECT stop_id, line_id, min(seq) AS seq FROM ls GROUP BY ALL")
+def stop_routes(spark, sf_dir):
+    return timetable.derived(spark, sf_dir).line_stops.groupBy("stop_id", "line_id").agg(F.min("seq").alias("seq"))
+
+
+@query(f"WITH {TRIPS} SELECT trip_id, line_id, CAST(row_number() OVER (PARTITION BY line_id, dow ORDER BY start_s, trip_id) - 1 AS INTEGER) AS place FROM trips")
+def trip_order(spark, sf_dir):
+    w = Window.partitionBy("line_id", "service_dow").orderBy(F.asc_nulls_first("start_s"), "trip_id")
+    return timetable.derived(spark, sf_dir).trips.select("trip_id", "line_id", (F.row_number().over(w) - 1).alias("place"))
+
+
+CALENDAR = "SELECT * FROM VALUES ('wk',1,1,1,1,1,0,0,date'2025-03-01',date'2025-03-20'), ('we',0,0,0,0,0,1,1,date'2025-03-05',date'2025-04-30') AS t(service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date)"
+EXCEPTIONS = "SELECT * FROM VALUES ('wk',date'2025-03-10',2), ('wk',date'2025-03-15',1), ('sp',date'2025-03-08',1), ('sp',date'2026-01-01',1) AS t(service_id,date,exception_type)"
+
+
+@query("""WITH c(service_id, days, a, z) AS (VALUES ('wk', [1,2,3,4,5], date '2025-03-01', date '2025-03-20'), ('we', [6,7], date '2025-03-05', date '2025-04-30')),
+e(service_id, day, kind) AS (VALUES ('wk', date '2025-03-10', 2), ('wk', date '2025-03-15', 1), ('sp', date '2025-03-08', 1), ('sp', date '2026-01-01', 1)),
+d AS (SELECT CAST(unnest(generate_series(date '2025-03-03', date '2025-03-24', interval 1 day)) AS DATE) AS day),
+r AS (SELECT service_id, day FROM c JOIN d ON day BETWEEN a AND z AND list_contains(days, isodow(day)) UNION SELECT e.service_id, e.day FROM e JOIN d USING (day) WHERE kind = 1)
+SELECT service_id, CAST(day AS VARCHAR) AS day FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.service_id = r.service_id AND e.day = r.day AND kind = 2)""")
+def service_days(spark, sf_dir):
+    return gtfs.service_days(spark.sql(CALENDAR), spark.sql(EXCEPTIONS), "2025-03-03").select("service_id", F.col("day").cast("string").alias("day"))
+
+
+@query("SELECT * FROM (VALUES ('2025-03-08', 1741420800::BIGINT), ('2025-03-09', 1741503600), ('2025-03-10', 1741590000), ('2025-11-02', 1762070400)) t(day, start_t)")
+def service_day_start(spark, sf_dir):
+    days = spark.sql("SELECT * FROM VALUES ('2025-03-08'), ('2025-03-09'), ('2025-03-10'), ('2025-11-02') AS t(day)")
+    return days.select("day", clock.service_day_start(F.to_date("day"), F.lit("America/Los_Angeles")).cast("bigint").alias("start_t"))
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 1741593600::BIGINT, 1741593660::BIGINT), ('a', 1, 1741593960, 1741593960), ('a', 2, 1741594260, 1741594260), ('a', 3, 1741683600, 1741683660)) t(trip_id, seq, arr, dep)")
+def absolute_stop_times(spark, sf_dir):
+    rows = spark.sql("SELECT *, date'2025-03-10' AS day, 'UTC' AS zone FROM VALUES ('a',1,'s1','08:00:00','08:01:00'), ('a',3,'s2',NULL,NULL), ('a',4,'s3','08:11:00',NULL), ('a',9,'s4','33:00:00','33:01:00') AS t(trip_id,stop_sequence,stop_id,arrival_time,departure_time)")
+    return gtfs.absolute_times(rows).select("trip_id", "seq", "arr", "dep")
+
+
+@query(f"WITH {LINES}, {TRIPS}, {TIMES} SELECT count(*) AS n FROM (SELECT arr < lag(arr) OVER (PARTITION BY trip_id ORDER BY seq) AS bad FROM st) WHERE bad")
+def monotone_violations(spark, sf_dir):
+    w = Window.partitionBy("trip_id").orderBy("seq")
+    return timetable.derived(spark, sf_dir).on(DOW).stop_times.select((F.col("arr") < F.lag("arr").over(w)).alias("bad")).where("bad").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey AS route_id, coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END, ''), p_name) AS name FROM part")
+def route_names(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("route_id"), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("route_short_name"), F.col("p_name").alias("route_long_name"))
+    return p.select("route_id", gtfs.route_name().alias("name"))
+
+
+def _day(spark: SparkSession, sf_dir: str) -> tuple[timetable.Timetable, DataFrame]:
+    tt = timetable.derived(spark, sf_dir).on(DOW)
+    return timetable.Timetable(tt.stops, tt.line_stops, tt.trips, cut(tt.stop_times)), cut(spatial.transfers(tt.stops))
+
+
+def _starts(tt: timetable.Timetable, t: int) -> DataFrame:
+    """Three queries, from (or to) the stops 0, 1 and 2."""
+    return tt.stops.where("stop_id < 3").select(F.col("stop_id").alias("query_id"), "stop_id", F.lit(t).cast("bigint").alias("t"), F.array().cast(f"array<{raptor.LEG}>").alias("legs"))
+
+
+def _boards(frontier: str) -> str:
+    return f"SELECT query_id, line_id, seq AS board_seq, arg_min({{'trip': trip_id, 'stop': f.stop_id, 'dep': dep}}, {{'dep': dep, 'trip': trip_id}}) AS b FROM {frontier} f JOIN st ON st.stop_id = f.stop_id AND dep >= t AND dep <= t + {C.HORIZON_S} GROUP BY ALL"
+
+
+STARTS = f"f0 AS (SELECT stop_id AS query_id, stop_id, {START_S}::BIGINT AS t FROM supplier, (SELECT s_suppkey AS stop_id FROM supplier) x WHERE s_suppkey = x.stop_id AND x.stop_id < 3)"
+
+
+@query(f"WITH {LINES}, {TRIPS}, {TIMES}, {STARTS}, b AS ({_boards('f0')}) SELECT query_id, line_id, board_seq, b.trip AS trip_id, b.stop AS board_stop, b.dep AS board_dep FROM b")
+def earliest_trip(spark, sf_dir):
+    tt, _ = _day(spark, sf_dir)
+    return raptor.earliest_trips(_starts(tt, START_S), tt.stop_times).drop("legs")
+
+
+@query(f"WITH {LINES}, {TRIPS}, {TIMES}, {STARTS}, b AS (SELECT query_id, line_id, seq AS alight_seq, arg_max({{'trip': trip_id, 'stop': f.stop_id, 'arr': arr}}, {{'arr': arr, 'trip': trip_id}}) AS b FROM f0 f JOIN st ON st.stop_id = f.stop_id AND arr <= {END_S} AND arr >= {END_S - C.HORIZON_S} GROUP BY ALL) SELECT query_id, line_id, alight_seq, b.trip AS trip_id, b.stop AS alight_stop, b.arr AS alight_arr FROM b")
+def latest_trip(spark, sf_dir):
+    tt, _ = _day(spark, sf_dir)
+    return raptor.latest_trips(_starts(tt, END_S), tt.stop_times).drop("legs")
+
+
+@query(f"WITH {LINES}, {TRIPS}, {TIMES}, f0 AS (SELECT 0::BIGINT AS query_id, s_suppkey AS stop_id, {START_S}::BIGINT AS t FROM supplier), b AS ({_boards('f0')}) SELECT query_id, line_id, board_seq, b.trip AS trip_id, b.dep AS board_dep FROM b QUALIFY row_number() OVER (PARTITION BY query_id, line_id ORDER BY b.dep, board_seq DESC) = 1")
+def board_one_per_route(spark, sf_dir):
+    tt, _ = _day(spark, sf_dir)
+    every = _starts(tt, START_S).select("t", "legs").limit(1).crossJoin(tt.stops.select(F.lit(0).cast("bigint").alias("query_id"), "stop_id"))  # one row
+    return raptor.one_boarding(raptor.earliest_trips(every, tt.stop_times)).drop("legs", "board_stop")
+
+
+def _rounds(n: int) -> str:
+    """Unrolled rounds: m (transit), k (what improved: frontier) and g (best so far)."""
+    out = [STARTS, "g0 AS (SELECT * FROM f0)"]
+    for r in range(1, n + 1):
+        p = r - 1
+        out += [
+            f"b{r} AS MATERIALIZED ({_boards(f'f{p}')})",
+            f"a{r} AS (SELECT query_id, st.stop_id, min(arr) AS t FROM b{r} JOIN st ON st.trip_id = b.trip AND seq > board_seq GROUP BY ALL)",
+            f"m{r} AS MATERIALIZED (SELECT a.* FROM a{r} a LEFT JOIN g{p} g USING (query_id, stop_id) WHERE g.t IS NULL OR a.t < g.t)",
+            f"w{r} AS (SELECT query_id, stop_id, t FROM m{r} UNION ALL SELECT query_id, to_stop, t + secs FROM m{r} JOIN tr ON from_stop = stop_id)",
+            f"n{r} AS (SELECT query_id, stop_id, min(t) AS t FROM w{r} GROUP BY ALL)",
+            f"f{r} AS MATERIALIZED (SELECT n.* FROM n{r} n LEFT JOIN g{p} g USING (query_id, stop_id) WHERE g.t IS NULL OR n.t < g.t)",
+            f"g{r} AS MATERIALIZED (SELECT query_id, stop_id, min(t) AS t FROM (SELECT * FROM g{p} UNION ALL SELECT * FROM f{r}) GROUP BY ALL)",
+        ]
+    return ", ".join(out)
+
+
+def _union(name: str, n: int, first: int = 0) -> str:
+    return " UNION ALL ".join(f"SELECT *, {r} AS round FROM {name}{r}" for r in range(first, n + 1))
+
+
+def _labels(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> DataFrame:
+    tt, tr = _day(spark, sf_dir)
+    return raptor.search(_starts(tt, START_S), tt.stop_times, tr, rounds)
+
+
+@query(f"WITH {BASE}, {_rounds(1)} SELECT query_id, stop_id, t FROM m1")
+def one_round_arrivals(spark, sf_dir):
+    return _labels(spark, sf_dir, 1).where("round = 1 and kind = 'transit'").select("query_id", "stop_id", "t")
+
+
+@query(f"WITH {BASE}, {_rounds(1)} SELECT query_id, stop_id, t FROM f1")
+def one_round_with_transfers(spark, sf_dir):
+    return _labels(spark, sf_dir, 1).where("round = 1").groupBy("query_id", "stop_id").agg(F.min("t").alias("t"))
+
+
+@query(f"WITH {BASE}, {_rounds(ROUNDS)} SELECT query_id, stop_id, arg_min(t, {{'t': t, 'r': round}}) AS t, arg_min(round, {{'t': t, 'r': round}}) AS round FROM ({_union('f', ROUNDS)}) GROUP BY ALL")
+def raptor_one_to_all(spark, sf_dir):
+    return raptor.best_times(_labels(spark, sf_dir))
+
+
+@query(f"WITH {BASE}, {_rounds(ROUNDS)}, l AS ({_union('f', ROUNDS)}) SELECT query_id, stop_id, round, min(t) OVER (PARTITION BY query_id, stop_id ORDER BY round) AS t FROM l")
+def raptor_running_best(spark, sf_dir):
+    return raptor.running_best(_labels(spark, sf_dir))
+
+
+@query(f"WITH {BASE}, {_rounds(ROUNDS)} SELECT query_id, stop_id, min(round) AS rounds FROM ({_union('f', ROUNDS)}) GROUP BY ALL")
+def raptor_rounds_to_reach(spark, sf_dir):
+    return _labels(spark, sf_dir).groupBy("query_id", "stop_id").agg(F.min("round").alias("rounds"))
+
+
+@query(f"WITH {BASE}, {_rounds(ROUNDS)} SELECT query_id, min(round) AS rounds FROM ({_union('m', ROUNDS, 1)}) WHERE stop_id % 7 = 6 GROUP BY ALL")
+def fewest_rounds(spark, sf_dir):
+    return _labels(spark, sf_dir).where("kind = 'transit' and stop_id % 7 = 6").groupBy("query_id").agg(F.min("round").alias("rounds"))
+
+
+@query(f"WITH {BASE}, {_rounds(ROUNDS)} SELECT query_id, CAST((t - {START_S}) // 900 AS BIGINT) AS quarter_hours, count(*) AS stops FROM (SELECT query_id, stop_id, min(t) AS t FROM ({_union('f', ROUNDS)}) GROUP BY ALL) WHERE t <= {START_S} + 7200 GROUP BY ALL")
+def isochrone(spark, sf_dir):
+    best = raptor.best_times(_labels(spark, sf_dir)).where(F.col("t") <= START_S + 7200)
+    return best.groupBy("query_id", F.expr(f"(t - {START_S}) div 900").alias("quarter_hours")).agg(F.count(F.lit(1)).alias("stops"))
+
+
+@query(f"WITH {BASE}, {_rounds(ROUNDS)}, l AS ({_union('f', ROUNDS)}) SELECT query_id, round, count(*) AS improved FROM l GROUP BY ALL")
+def search_counters(spark, sf_dir):
+    per = _labels(spark, sf_dir).groupBy("query_id", "stop_id", "round").agg(F.min("t").alias("t"))
+    return per.groupBy("query_id", "round").agg(F.count(F.lit(1)).alias("improved"))
+
+
+def _rounds_back(n: int) -> str:
+    out = [f"f0 AS (SELECT s_suppkey AS query_id, s_suppkey AS stop_id, {END_S}::BIGINT AS t FROM supplier WHERE s_suppkey < 3)", "g0 AS (SELECT * FROM f0)"]
+    for r in range(1, n + 1):
+        p = r - 1
+        out += [
+            f"b{r} AS MATERIALIZED (SELECT query_id, line_id, seq AS at_seq, arg_max({{'trip': trip_id, 'arr': arr}}, {{'arr': arr, 'trip': trip_id}}) AS b FROM f{p} f JOIN st ON st.stop_id = f.stop_id AND arr <= t AND arr >= t - {C.HORIZON_S} GROUP BY ALL)",
+            f"a{r} AS (SELECT query_id, st.stop_id, max(dep) AS t FROM b{r} JOIN st ON st.trip_id = b.trip AND seq < at_seq GROUP BY ALL)",
+            f"m{r} AS MATERIALIZED (SELECT a.* FROM a{r} a LEFT JOIN g{p} g USING (query_id, stop_id) WHERE g.t IS NULL OR a.t > g.t)",
+            f"n{r} AS (SELECT query_id, stop_id, max(t) AS t FROM (SELECT query_id, stop_id, t FROM m{r} UNION ALL SELECT query_id, from_stop, t - secs FROM m{r} JOIN tr ON to_stop = stop_id) GROUP BY ALL)",
+            f"f{r} AS MATERIALIZED (SELECT n.* FROM n{r} n LEFT JOIN g{p} g USING (query_id, stop_id) WHERE g.t IS NULL OR n.t > g.t)",
+            f"g{r} AS MATERIALIZED (SELECT query_id, stop_id, max(t) AS t FROM (SELECT * FROM g{p} UNION ALL SELECT * FROM f{r}) GROUP BY ALL)",
+        ]
+    return ", ".join(out)
+
+
+@query(f"WITH {BASE}, {_rounds_back(ROUNDS)} SELECT query_id, stop_id, arg_min(t, {{'t': -t, 'r': round}}) AS t, arg_min(round, {{'t': -t, 'r': round}}) AS round FROM ({_union('f', ROUNDS)}) GROUP BY ALL")
+def raptor_arrive_by(spark, sf_dir):
+    tt, tr = _day(spark, sf_dir)
+    return raptor.best_times(raptor.search(_starts(tt, END_S), tt.stop_times, tr, ROUNDS, back=True), back=True)
+
+
+TARGETS = "tg AS (SELECT q.query_id, s.s_suppkey AS stop_id, 60 + s.s_suppkey % 11 * 30 AS cost FROM (SELECT s_suppkey AS query_id FROM supplier WHERE s_suppkey < 3) q, supplier s WHERE s.s_suppkey % 9 = q.query_id + 4)"
+PICKS = f"""{BASE}, {_rounds(ROUNDS)}, {TARGETS}, hit AS (SELECT m.query_id, m.stop_id, t, cost, round, min(round) OVER (PARTITION BY m.query_id) AS first FROM ({_union('m', ROUNDS, 1)}) m JOIN tg USING (query_id, stop_id)),
+sc AS (SELECT *, unnest([0.5, 1.0, 2.0]) AS scalar FROM hit WHERE round < first + {C.ROUND_DELTA}),
+bs AS (SELECT query_id, scalar, round, arg_min({{'stop': stop_id, 't': t, 'cost': cost}}, {{'s': t + CAST(floor(cost * scalar) AS BIGINT), 'stop': stop_id}}) AS b FROM sc GROUP BY ALL),
+pk AS (SELECT * FROM (SELECT *, min(b.t) OVER (PARTITION BY query_id, scalar ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM bs) WHERE prev IS NULL OR b.t < prev),
+itn AS (SELECT DISTINCT query_id, round, b.stop AS stop_id, b.t AS t, b.t + b.cost AS final_t FROM pk)"""
+
+
+def _picked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, timetable.Timetable]:
+    tt, tr = _day(spark, sf_dir)
+    labels = raptor.search(_starts(tt, START_S), tt.stop_times, tr, ROUNDS)
+    s = tt.stops.select("stop_id")
+    q = tt.stops.where("stop_id < 3").select(F.col("stop_id").alias("query_id"))
+    targets = q.join(s, F.expr("stop_id % 9 = query_id + 4")).select("query_id", "stop_id", (F.lit(60) + F.col("stop_id") % 11 * 30).alias("cost"))
+    return raptor.pick_itineraries(labels, targets, C.WALK_SCALARS, ROUNDS, C.ROUND_DELTA), tt
+
+
+@query(f"WITH {PICKS} SELECT query_id, round, stop_id, t, final_t, CAST(row_number() OVER (PARTITION BY query_id ORDER BY t, round, stop_id) AS INTEGER) AS rank FROM itn")
+def plan_itineraries(spark, sf_dir):
+    return _picked(spark, sf_dir)[0].drop("legs")
+
+
+@query(f"WITH {PICKS} SELECT query_id, round, final_t FROM (SELECT *, min(final_t) OVER (PARTITION BY query_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (SELECT query_id, round, min(final_t) AS final_t FROM itn GROUP BY ALL)) WHERE prev IS NULL OR final_t < prev")
+def plan_pareto(spark, sf_dir):
+    per = _picked(spark, sf_dir)[0].groupBy("query_id", "round").agg(F.min("final_t").alias("final_t"))
+    before = Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("prev", F.min("final_t").over(before)).where("prev is null or final_t < prev").drop("prev")
+
+
+@query()
+def itinerary_legs(spark, sf_dir):
+    picked, _ = _picked(spark, sf_dir)
+    return picked.select("query_id", "rank", F.posexplode("legs").alias("pos", "l")).select("query_id", "rank", "pos", "l.*")
+
+
+@query()
+def plan_responses(spark, sf_dir):
+    picked, tt = _picked(spark, sf_dir)
+    return itinerary.responses(picked, _starts(tt, START_S).select("query_id", F.col("t").alias("start_t")), tt.stops)
+
+
+def _requests(tt: timetable.Timetable) -> DataFrame:
+    s = tt.stops.select("stop_id", "lat", "lon")
+    a = s.where("stop_id < 3").selectExpr("stop_id AS query_id", "lat + 0.001 AS from_lat", "lon + 0.001 AS from_lon", "stop_id * 3 + 3 AS to_stop")
+    return a.join(s.selectExpr("stop_id AS to_stop", "lat + 0.002 AS to_lat", "lon AS to_lon"), "to_stop").withColumns({"start_t": F.lit(START_S).cast("bigint"), "end_t": F.lit(END_S).cast("bigint")})
+
+
+@query()
+def plan_depart_at(spark, sf_dir):
+    tt, tr = _day(spark, sf_dir)
+    return journeys.depart_at(_requests(tt), tt, tr).drop("legs")
+
+
+@query()
+def plan_arrive_by(spark, sf_dir):
+    tt, tr = _day(spark, sf_dir)
+    return journeys.arrive_by(_requests(tt), tt, tr).drop("legs")
+
+
+EDGES = "e AS (SELECT l_suppkey AS a, l_partkey % (SELECT count(*) FROM supplier) AS b, CAST(l_quantity * 1000 AS BIGINT) AS weight_mm, l_returnflag <> 'R' AS fwd, l_linestatus = 'O' AS rev, CASE WHEN l_linenumber = 7 THEN 'ferry' ELSE 'road' END AS use, l_linenumber = 6 AS is_transit, l_linenumber = 5 AS is_shortcut, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)"
+DIRECTED = "d AS (SELECT a AS src, b AS dst, weight_mm FROM e WHERE fwd AND NOT is_transit AND NOT is_shortcut AND use <> 'ferry' AND a <> b UNION ALL SELECT b, a, weight_mm FROM e WHERE rev AND NOT is_transit AND NOT is_shortcut AND use <> 'ferry' AND a <> b)"
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "supplier").count()
+    return _table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS a", f"l_partkey % {n} AS b", "cast(l_quantity * 1000 AS bigint) AS weight_mm", "l_returnflag <> 'R' AS fwd", "l_linestatus = 'O' AS rev", "CASE WHEN l_linenumber = 7 THEN 'ferry' ELSE 'road' END AS use", "l_linenumber = 6 AS is_transit", "l_linenumber = 5 AS is_shortcut", "l_orderkey * 10 + l_linenumber AS ord")
+
+
+@query(f"WITH {EDGES}, {DIRECTED} SELECT src, dst, count(*) AS n, CAST(sum(weight_mm) AS BIGINT) AS total_mm FROM d GROUP BY ALL")
+def walk_edges_directed(spark, sf_dir):
+    return walking.directed(_edges(spark, sf_dir)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum("weight_mm").alias("total_mm"))
+
+
+@query(f"WITH {EDGES} SELECT a AS src, b AS dst, min(weight_mm) AS length, arg_min(ord, {{'l': weight_mm, 'o': ord}}) AS ord FROM e GROUP BY ALL")
+def edge_dedupe(spark, sf_dir):
+    return walking.shortest_parallel(_edges(spark, sf_dir).selectExpr("a AS src", "b AS dst", "weight_mm AS length", "ord"))
+
+
+@query(f"WITH {EDGES}, {DIRECTED} SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM (SELECT src AS node FROM d UNION SELECT dst FROM d)")
+def compact_node_ids(spark, sf_dir):
+    return walking.compact_ids(walking.directed(_edges(spark, sf_dir)))
+
+
+@query("SELECT (hash >> 52) AS bucket, count(*) AS n FROM (SELECT (event_id * 2654435761 % 4294967296) * 2147483648 + user_id AS hash FROM events) GROUP BY ALL")
+def point_buckets(spark, sf_dir):
+    cell = F.expr("(event_id * 2654435761 % 4294967296) * 2147483648 + user_id")
+    return _table(spark, sf_dir, "events").select(F.shiftrightunsigned(cell, 52).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+DEGREES = "deg AS (SELECT coalesce(o.node, i.node) AS node, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, coalesce(loops, 0) AS loops, coalesce(o.k, 0) + coalesce(i.k, 0) AS neighbours FROM (SELECT a AS node, count(*) AS n_out, count(*) FILTER (a = b) AS loops, count(DISTINCT b) AS k FROM e GROUP BY a) o FULL JOIN (SELECT b AS node, count(*) AS n_in, count(DISTINCT a) AS k FROM e GROUP BY b) i ON o.node = i.node)"
+
+
+def _degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walking.degrees(_edges(spark, sf_dir).selectExpr("a AS src", "b AS dst"))
+
+
+@query(f"WITH {EDGES}, {DEGREES} SELECT node, n_in, n_out, loops, neighbours FROM deg")
+def degree_stats(spark, sf_dir):
+    return _degrees(spark, sf_dir)
+
+
+@query(f"WITH {EDGES}, {DEGREES} SELECT CASE WHEN n_in + n_out = 0 THEN 'isolated' WHEN n_in = 0 OR n_out = 0 THEN 'dead_end' WHEN loops > 0 THEN 'branch' WHEN neighbours = 2 THEN 'chain' WHEN neighbours > 2 THEN 'branch' ELSE 'dead_end' END AS class, count(*) AS n FROM deg GROUP BY ALL")
+def node_classes(spark, sf_dir):
+    return _degrees(spark, sf_dir).groupBy(walking.node_class().alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EDGES}, {DEGREES} SELECT n_in, n_out, count(*) AS n FROM deg GROUP BY ALL ORDER BY n DESC, n_in, n_out LIMIT 20")
+def top_degree_patterns(spark, sf_dir):
+    return _degrees(spark, sf_dir).groupBy("n_in", "n_out").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "n_in", "n_out").limit(20)
+
+
+GRID = "gr AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, 300000 + (a.s_suppkey + b.s_suppkey) % 7 * 1000 AS w FROM supplier a JOIN supplier b ON (abs(a.s_suppkey - b.s_suppkey) = 1 AND a.s_suppkey // 10 = b.s_suppkey // 10) OR abs(a.s_suppkey - b.s_suppkey) = 10)"
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"))
+    steps = s.select("src", F.explode(F.array(F.col("src") - 10, F.col("src") - 1, F.col("src") + 1, F.col("src") + 10)).alias("dst")).where("abs(src - dst) = 10 or src div 10 = dst div 10").where("dst >= 0")
+    return steps.join(s.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst", (F.lit(300_000) + (F.col("src") + F.col("dst")) % 7 * 1000).alias("weight_mm"))
+
+
+@query(f"WITH RECURSIVE {GRID}, w(source, node, dist, n) AS (SELECT s_suppkey, s_suppkey, 0::BIGINT, 0 FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT source, dst, dist + w, n + 1 FROM w JOIN gr ON src = node WHERE dist + w <= 1500000) SELECT source, node, min(dist) AS dist FROM w GROUP BY ALL")
+def walk_shortest(spark, sf_dir):
+    sources = _table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("source"))
+    return walking.shortest(cut(_grid(spark, sf_dir)), sources, 1_500_000)
+
+
+@query()
+def walk_paths(spark, sf_dir):
+    grid = _grid(spark, sf_dir).withColumn("tile", F.expr("src div 100"))
+    pairs = _table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 100").alias("tile"), F.col("s_suppkey").alias("source"), F.expr("s_suppkey div 100 * 100").alias("target"))
+    return walking.shortest_paths(grid, pairs).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+
+
+@query(f"WITH {STOPS}, {LINES} SELECT line_id, string_agg(printf('%.5f,%.5f', lat, lon), ' ' ORDER BY seq) AS points FROM ls JOIN stops USING (stop_id) GROUP BY ALL")
+def polyline_codec(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    p = tt.line_stops.join(tt.stops, "stop_id").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
+    code = polyline.encode_polyline()(F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))))
+    back = p.select("line_id", polyline.decode_polyline()(code).alias("d"))
+    return back.select("line_id", F.array_join(F.transform("d", lambda x: F.concat_ws(",", F.format_string("%.5f", x["lat"]), F.format_string("%.5f", x["lon"]))), " ").alias("points"))
+
+
+@query(f"WITH {STOPS}, {LINES} SELECT line_id, string_agg(stop_id, '>' ORDER BY seq) AS clipped FROM ls WHERE seq * 100.0 >= 300 AND seq * 100.0 < 900 GROUP BY ALL")
+def shape_clip(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    p = tt.line_stops.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("seq", "stop_id", (F.col("seq") * 100.0).alias("dist")))).alias("p"))
+    clipped = itinerary.clip_by_distance(F.col("p"), F.lit(300.0), F.lit(900.0))
+    return p.where(F.size(clipped) > 0).select("line_id", F.array_join(F.transform(clipped, lambda x: x["stop_id"].cast("string")), ">").alias("clipped"))
+
+
+@query()
+def closest_shape_point(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    p = tt.line_stops.join(tt.stops, "stop_id").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
+    return p.select("line_id", itinerary.closest_on_line(F.col("p"), F.lit(47.51), F.lit(-122.39)).alias("c")).select("line_id", "c.k", F.round("c.f", 6).alias("f"))
+
+
+@query("WITH n AS (SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'a' ELSE 'b' END AS feed_id, s_suppkey AS stop_id FROM supplier) SELECT feed_id, CASE WHEN feed_id = 'b' THEN stop_id + (SELECT max(stop_id) + 1 FROM n WHERE feed_id = 'a') ELSE stop_id END AS stop_id FROM n")
+def feed_concat(spark, sf_dir):
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("stop_id"), F.col("s_nationkey"))
+    return timetable.concat({"a": s.where("s_nationkey % 2 = 0").drop("s_nationkey"), "b": s.where("s_nationkey % 2 <> 0").drop("s_nationkey")}, "stop_id").select("feed_id", "stop_id")
+
+
+@query(f"WITH {STOPS} SELECT s_nationkey AS feed_id, CAST(round(avg(lat), 6) * 1000000 AS BIGINT) AS lat_e6, CAST(round(avg(lon), 6) * 1000000 AS BIGINT) AS lon_e6 FROM stops JOIN supplier ON s_suppkey = stop_id GROUP BY ALL")
+def feed_centroid(spark, sf_dir):
+    s = timetable.derived(spark, sf_dir).stops.join(_table(spark, sf_dir, "supplier"), F.expr("s_suppkey = stop_id"))
+    micro = lambda c: F.round(F.round(F.avg(c), 6) * 1_000_000).cast("bigint")
+    return s.groupBy(F.col("s_nationkey").alias("feed_id")).agg(micro("lat").alias("lat_e6"), micro("lon").alias("lon_e6"))
+
+
+REGISTRY = [
+    ("one", '{"feeds":[{"id":"f-a","spec":"gtfs","urls":{"static_current":"https://a.example.com/g.zip"}},{"id":"f-b","spec":"gtfs-rt","urls":{}}],"license_spdx_identifier":"CDLA-Permissive-1.0"}'),
+    ("two", '{"feeds":[{"id":"f-c","spec":"gtfs","surprise":1,"urls":{"static_current":"https://c.example.com/g.zip"}}]}'),
+    ("three", '{"feeds":[{"id":"f-d","spec":"gtfs","tags":{"k":"v"},"urls":{"static_current":"ftp://d.example.com/g.zip"}}]}'),
+    ("four", '{"feeds":[{"id":"f-e","spec":"teleport","urls":{"static_current":"https://e.example.com"}}]}'),
+    ("five", "not json"),
+]
+
+
+def _registry(spark: SparkSession) -> DataFrame:
+    return registry.parse(spark.createDataFrame(REGISTRY, "file string, body string"))
+
+
+@query("SELECT * FROM (VALUES ('one', 0, 'f-a', 'https://a.example.com/g.zip', 'one.0.zip'), ('three', 0, 'f-d', 'ftp://d.example.com/g.zip', 'three.0.zip')) t(file, feed_index, feed_id, url, target)")
+def registry_static_urls(spark, sf_dir):
+    return registry.static_urls(_registry(spark))
+
+
+@query("SELECT * FROM (VALUES ('two'), ('four'), ('five')) t(file)")
+def registry_invalid(spark, sf_dir):
+    return _registry(spark).where("not valid").select("file")
+
+
+@query("SELECT event_id, CASE WHEN 4294967000 + user_id > 4294967295 THEN 4294967000 ELSE 4294967000 + user_id END AS later, greatest(user_id - 500, 0)::BIGINT AS earlier FROM events")
+def saturating_time(spark, sf_dir):
+    e, t = _table(spark, sf_dir, "events"), F.lit(4_294_967_000).cast("bigint")
+    return e.select("event_id", clock.plus_seconds(t, F.col("user_id")).alias("later"), clock.minus_seconds(F.col("user_id"), F.lit(500).cast("bigint")).alias("earlier"))
+
+
+@query("SELECT o_orderkey AS id, CAST(date '2025-06-03' + CAST((o_orderkey * 977 % 200000) // 86400 AS INTEGER) AS VARCHAR) AS day, (o_orderkey * 977 % 200000) % 86400 AS second FROM orders")
+def time_rollover(spark, sf_dir):
+    s = F.expr("o_orderkey * 977 % 200000")
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), clock.rolled_date(F.lit("2025-06-03").cast("date"), s).cast("string").alias("day"), (s % 86_400).alias("second"))
+
+
+@query(f"WITH {LINES}, {TRIPS} SELECT (SELECT count(*) FROM supplier) AS stops, (SELECT count(*) FROM ls) AS line_stops, (SELECT count(*) FROM trips) AS trips, (SELECT count(*) FROM trips JOIN ls USING (line_id)) AS stop_times")
+def table_totals(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return one(tt.stops, "stops").crossJoin(one(tt.line_stops, "line_stops")).crossJoin(one(tt.trips, "trips")).crossJoin(one(tt.stop_times, "stop_times"))  # one row each
