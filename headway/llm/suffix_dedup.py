@@ -194,6 +194,29 @@ def _slices(table: pa.Table, column: str) -> Iterator[pa.RecordBatch]:
     return text_slices(iter(table.combine_chunks().to_batches()), column)
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The low 48 bits, all that is sent of an anchor's hash: two anchors that share them by chance cost a look, no error."""
+    return h & np.uint64((1 << 48) - 1)
+
+
+def _to_six(h: np.ndarray) -> bytes:
+    return h.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes()
+
+
+def _from_six(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 4), "<u2")
+    wide[:, :3] = np.frombuffer(data, "<u2", 3 * n).reshape(-1, 3)
+    return wide.view("<u8").reshape(-1)
+
+
+def _zip(data: bytes) -> bytes:
+    return struct.pack("<Q", len(data)) + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzip(data: bytes) -> bytes:
+    return pa.decompress(data[8:], struct.unpack_from("<Q", data)[0], codec="zstd", asbytes=True)
+
+
 def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     parts = texts.cast(pa.large_binary()).to_pylist()
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts], dtype=np.int64)
@@ -201,7 +224,9 @@ def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: int) -> DataFrame:
     """rows: (__g int, __key bigint, __doc bigint, __text string not null). Spans to remove, packed: (__g, payload)."""
-    narrow = rows.select("__g", "__key", "__doc", "__text")
+    narrow = rows.select("__g", "__text")
+    kind_of_g = "<u2" if groups < 1 << 16 else "<u4"
+    each = 6 + int(kind_of_g[-1])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -214,7 +239,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
             h, g, b = h[order], g[order], b[order]
             cuts = _cuts(b)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([h[a:z].tobytes() + g[a:z].tobytes() for _, a, z in cuts], pa.binary())], ["b", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([_to_six(h[a:z]) + g[a:z].tobytes() for _, a, z in cuts], pa.binary())], ["b", "payload"])
 
         for batch in text_slices(batches, "__text"):
             data, ends = _joined(batch.column("__text"))
@@ -222,7 +247,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
             once = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(h) != 0)])[: len(h)]
-            held.append((h[once], batch.column("__g").to_numpy()[doc[once]].astype("<u4")))
+            held.append((h[once], batch.column("__g").to_numpy()[doc[once]].astype(kind_of_g)))
             size += len(batch.column("__text")) and len(data)
             if size >= 64 << 20:
                 yield out()
@@ -233,9 +258,9 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
     def shared(table: pa.Table) -> pa.Table:
         hs, gs = [], []
         for x in table.column("payload").to_pylist():
-            n = len(x) // 12
-            hs.append(np.frombuffer(x, "<u8", n))
-            gs.append(np.frombuffer(x, "<u4", n, 8 * n))
+            n = len(x) // each
+            hs.append(_from_six(x, n))
+            gs.append(np.frombuffer(x, kind_of_g, n, 6 * n))
         h, g = np.concatenate(hs), np.concatenate(gs)
         order = np.argsort(h, kind="stable")
         h, g = h[order], g[order]
@@ -247,7 +272,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
         once = np.concatenate([[True], (np.diff(g) != 0) | (h[1:] != h[:-1])])[: len(h)]
         h, g = h[once], g[once]
         cuts = _cuts(g.astype(np.int64))
-        return pa.table({"__g": pa.array([k for k, _, _ in cuts], pa.int32()), "payload": pa.array([h[a:z].tobytes() for _, a, z in cuts], pa.binary())})
+        return pa.table({"__g": pa.array([k for k, _, _ in cuts], pa.int32()), "payload": pa.array([_to_six(h[a:z]) for _, a, z in cuts], pa.binary())})
 
     flags = narrow.mapInArrow(send, "b int, payload binary").groupBy("b").applyInArrow(shared, "__g int, payload binary")
 
@@ -255,14 +280,14 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
         out: list[tuple[int, int, int, bytes]] = []
         if texts.num_rows and flagged.num_rows:
             g = texts.column("__g")[0].as_py()
-            known = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in flagged.column("payload").to_pylist()]))
+            known = np.unique(np.concatenate([_from_six(x, len(x) // 6) for x in flagged.column("payload").to_pylist()]))
             held: dict[int, dict[bytes, tuple[int, list]]] = {}
             done: list[tuple[int, int, int]] = []
             for batch in _slices(texts, "__text"):
                 data, ends = _joined(batch.column("__text"))
                 doc, first, last, h = anchors(data, ends, least, gram)
-                at = np.searchsorted(known, h)
-                hit = known[np.minimum(at, len(known) - 1)] == h
+                short = _short(h)
+                hit = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
                 doc, first, last, h = doc[hit], first[hit], last[hit], h[hit]
                 begin = np.concatenate([[0], ends])[doc]
                 keys, docs = (batch.column(c).to_numpy().astype(t)[doc].tolist() for c, t in (("__key", np.uint64), ("__doc", np.int64)))
@@ -274,10 +299,11 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
             for b, content in held.items():
                 items = [(k, d, s, c) for c, (d, owners) in content.items() for k, s in owners]
                 head = struct.pack("<I", len(items)) + np.array([x[0] for x in items], "<u8").tobytes() + np.array([x[1] for x in items], "<i8").tobytes() + np.array([x[2] for x in items], "<u4").tobytes() + np.array([len(x[3]) for x in items], "<u4").tobytes()
-                out.append((b, g, 0, head + b"".join(x[3] for x in items)))
+                out.append((b, g, 0, _zip(head + b"".join(x[3] for x in items))))
         return pa.table({"b": pa.array([x[0] for x in out], pa.int32()), "__g": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "payload": pa.array([x[3] for x in out], pa.binary())})
 
-    found = narrow.groupBy("__g").cogroup(flags.groupBy("__g")).applyInArrow(segments, "b int, __g int, kind int, payload binary")
+    # with all columns, so that the texts' exchange is used again for cutting
+    found = rows.groupBy("__g").cogroup(flags.groupBy("__g")).applyInArrow(segments, "b int, __g int, kind int, payload binary")
 
     def intervals(table: pa.Table) -> pa.Table:
         spans: dict[int, list[bytes]] = {}
@@ -287,6 +313,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
             if kind:
                 spans.setdefault(g, []).append(x)
                 continue
+            x = _unzip(x)
             n = struct.unpack_from("<I", x)[0]
             keys, docs = np.frombuffer(x, "<u8", n, 4).tolist(), np.frombuffer(x, "<i8", n, 4 + 8 * n).tolist()
             starts, lens = np.frombuffer(x, "<u4", n, 4 + 16 * n).tolist(), np.frombuffer(x, "<u4", n, 4 + 20 * n).tolist()
@@ -329,10 +356,10 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged on the input. Null texts are empty. A null id is larger than any other, and rows with equal ids (repeated rows, null ids) don't remove
     from each other. An empty table gives an empty result."""
     spark = documents.sparkSession
-    groups = 2 * shuffle_partitions(spark)
+    groups = shuffle_partitions(spark)
     columns = [F.col(f"`{c}`") for c in documents.columns if c != text_col]
     rows = _with_keys(documents.select(F.struct(*columns).alias("row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), F.col("__id"), F.col("__t"), groups).drop("__id", "__t")
-    spans = repeat_spans(rows, groups, 2 * groups, least, gram)
+    spans = repeat_spans(rows, groups, groups, least, gram)
     schema = rows.select("row").withColumns({"n_bytes": F.lit(0).cast("bigint"), "n_removed": F.lit(0).cast("bigint"), "n_spans": F.lit(0).cast("bigint"), "kept": F.lit(b"")}).schema
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
