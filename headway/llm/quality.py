@@ -118,4 +118,7 @@ def ablation(led: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES)
 def filter_quality(documents: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:
     """The documents that the policy keeps, with their own columns."""
     tagged = documents.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"))
-    return ledger(tagged, "__text").where(verdict(POLICIES[policy])).select("__row.*")
+    # the bits pass through explode(array()), as a filter on them would else be pushed below the ledger and its
+    # expressions evaluated again inside each other's lambdas
+    judged = ledger(tagged, "__text").select("__row", F.explode(F.array("fail_bits")).alias("__bits"))
+    return judged.where(verdict(POLICIES[policy], "__bits")).select("__row.*")
