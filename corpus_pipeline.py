@@ -41,7 +41,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("source mixing", mix_sources), ("packing", pack_sequences)]
 
-#: Shingle hashes, random rounding and the tokenizer aren't expressible in SQL; tests hold the rows against a brute-force version.
+#: Shingle hashes, random rounding and the tokenizer aren't expressible in SQL; the operators of the stages have brute-force tests.
 ORACLE_SQL = None
 
 
