@@ -129,7 +129,8 @@ b AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b""",
     "op4_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49)) AS p FROM d)),
+t AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2098) AS h FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT) - 49, 1000)) AS o FROM d)),
+s AS (SELECT doc_id, o + i AS p, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, o, h, unnest(range(0, least(1000, CAST(length(h) / 2 AS BIGINT) - 49))) AS i FROM t)),
 f AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k HAVING count(*) > 1),
 x AS (SELECT s.doc_id, s.p FROM s JOIN f ON s.k = f.k AND s.doc_id > f.first),
 r AS (SELECT doc_id, p, coalesce(p > lag(p) OVER o + 50, true) AS fresh FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY p)),

@@ -349,8 +349,9 @@ def _with_keys(documents: DataFrame, doc: Column, text: Column, groups: int) ->
     return rows.withColumn("__g", F.pmod(F.xxhash64("__key"), F.lit(groups)).cast("int"))
 
 
-def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, characters: bool = False) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept binary): row holds the given columns as a struct.
+    With `characters`, kept has whole characters only: what a cut leaves of one goes too.
 
     A byte of a text is removed if a string of `least` bytes over it also starts in a document with a smaller id; all is
     judged on the input. Null texts are empty. A null id is larger than any other, and rows with equal ids (repeated rows, null ids) don't remove
@@ -380,6 +381,8 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     kept.append(data[at:a])
                     removed, n, at = removed + z - a, n + 1, z
             kept.append(data[at:])
+            if characters:
+                kept = [x.decode("utf-8", "ignore").encode() for x in kept]
             for c, v in zip(out, (len(data), removed, n, b"".join(kept)), strict=True):
                 out[c].append(v)
         return pa.table([texts.column("row"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], names=["row", *out])
@@ -390,10 +393,8 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """documents without the repeated bytes; all rows and columns stay. Where a cut falls inside a character,
     what is left of the character goes too."""
-    kept = dedup(documents, id_col, text_col, least)
-    text = F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string")))
-    text = F.translate(text, "�", "")
-    return kept.select(*[(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)) for c in documents.columns])
+    kept = dedup(documents, id_col, text_col, least, characters=True)
+    return kept.select(*[(F.col("kept").cast("string").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)) for c in documents.columns])
 
 
 def digest(kept: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -63,9 +63,10 @@ def test_tiles_find_what_all_pairs_find(spark):
     assert sorted(map(tuple, components(got).collect())) == sorted(map(tuple, components(want).collect()))
 
 
-def removed(rows, n=50):
+def gone_bytes(rows, n=50):
+    """Of each row: its bytes, and for each whether it goes (and one False more)."""
     first = {}
-    data = [(i if i is not None else 1 << 62, (t or "").encode()) for i, t, _ in rows]
+    data = [(r[0] if r[0] is not None else 1 << 62, (r[1] or "").encode()) for r in rows]
     for i, b in data:
         for p in range(len(b) - n + 1):
             first[b[p : p + n]] = min(i, first.get(b[p : p + n], i))
@@ -75,6 +76,22 @@ def removed(rows, n=50):
         for p in range(len(b) - n + 1):
             if first[b[p : p + n]] < i:
                 gone[p : p + n] = True
+        out.append((b, gone))
+    return out
+
+
+def removed_bytes(rows, n=50):
+    """Of each row: what is left between the removed runs, whole characters only."""
+    out = []
+    for b, gone in gone_bytes(rows, n):
+        edges = np.flatnonzero(np.diff(np.concatenate([[1], gone.astype(int)[:-1], [1]]))).tolist()
+        out.append([b[a:z].decode("utf-8", "ignore").encode() for a, z in zip(edges[::2], edges[1::2], strict=True)])
+    return out
+
+
+def removed(rows, n=50):
+    out = []
+    for b, gone in gone_bytes(rows, n):
         out.append((len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone[:-1]])).hexdigest()))
     return out
 
