@@ -68,13 +68,21 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, bins: int = BINS, most_d
     """Rows (length, first rank, ranks, copies in a sequence, first sequence, offset of the first copy).
 
     The pieces of a length have ranks 0, 1, ...; a row places `ranks` of them from its first rank on, `copies` in
-    each sequence, one after the other. All pieces are placed and no sequence exceeds the limit."""
+    each sequence, one after the other. All pieces are placed and no sequence exceeds the limit. Bins round
+    lengths up, so a pattern of d documents may still fit at up to d - 1 bins beyond the limit: the fit is made
+    with 0, 1, ... such bins allowed, and the one that needs the fewest sequences is taken."""
     bins = min(bins, limit)
+    plans = [_fit(histogram, limit, bins, most_docs, over) for over in range(most_docs)]
+    return min(plans, key=lambda x: x[0])[1]
+
+
+def _fit(histogram: dict[int, int], limit: int, bins: int, most_docs: int, over: int) -> tuple[int, np.ndarray]:
+    """The number of sequences and plan()'s rows, with patterns of up to `over` bins beyond the limit."""
     bin_of = lambda n: -(-n * bins // limit)
     left: dict[int, list[list[int]]] = defaultdict(list)  # of each bin: [length, count], longest last
     for n in sorted(k for k, c in histogram.items() if c > 0):
         left[bin_of(n)].append([n, histogram[n]])
-    kinds = patterns(bins, most_docs)
+    kinds = [kind for more in range(over + 1) for kind in patterns(bins + more, most_docs, bins) if len(kind) > more]
     a = np.zeros((bins, len(kinds)))
     for j, kind in enumerate(kinds):
         for k in kind:
@@ -82,21 +90,33 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, bins: int = BINS, most_d
     want = np.array([sum(c for _, c in left[k]) for k in range(1, bins + 1)], float)
     fits = np.floor(nnls(a, want) + 1e-6).astype(np.int64)
     groups: list[tuple[int, tuple[tuple[int, int], ...], int]] = []  # free tokens, ((length, copies), ...), sequences
+
+    def take(kind: tuple[int, ...]) -> list[tuple[int, list[int], int]] | None:
+        """(bin, [length, count], copies) for each bin of the pattern: the longest pieces that leave room for the rest; None if too few are left."""
+        need: dict[int, int] = {}
+        for k in kind:
+            need[k] = need.get(k, 0) + 1
+        if not all(left[k] and (left[k][-1][1] >= m or len(left[k]) > 1) for k, m in need.items()):
+            return None
+        rest, used, out = sum(left[k][0][0] * m for k, m in need.items()), 0, []
+        for k, m in need.items():
+            rest -= left[k][0][0] * m
+            run = next((x for x in reversed(left[k]) if used + rest + x[0] * min(m, x[1]) <= limit), None)
+            if run is None:
+                return None
+            out.append((k, run, min(m, run[1])))
+            used += run[0] * min(m, run[1])
+        return out
+
     for j in np.argsort(-fits, kind="stable"):
         todo = int(fits[j])
-        while todo > 0:
-            need: dict[int, int] = {}
-            for k in kinds[j]:
-                need[k] = need.get(k, 0) + 1
-            take = [(k, left[k][-1][0], min(m, left[k][-1][1])) for k, m in need.items() if left[k]]
-            times = min([todo, *(left[k][-1][1] // m for k, _, m in take)])
-            if len(take) < len(need) or any(m < need[k] and len(left[k]) < 2 for k, _, m in take):
-                break  # too few pieces are left for the pattern
-            for k, _, m in take:
-                left[k][-1][1] -= m * times
-                if not left[k][-1][1]:
-                    left[k].pop()
-            groups.append((limit - sum(n * m for _, n, m in take), tuple((n, m) for _, n, m in take), times))
+        while todo > 0 and (taken := take(kinds[j])):
+            times = min([todo, *(run[1] // m for _, run, m in taken)])
+            for k, run, m in taken:
+                run[1] -= m * times
+                if not run[1]:
+                    left[k].remove(run)
+            groups.append((limit - sum(run[0] * m for _, run, m in taken), tuple((run[0], m) for _, run, m in taken), times))
             todo -= times
     free: dict[int, list] = defaultdict(list)
     for slack, what, times in groups:
@@ -140,7 +160,7 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, bins: int = BINS, most_d
                 rank[n] += each * times
                 at += n * each
             sequence += times
-    return np.array(sorted(rows), np.int64).reshape(-1, 6)
+    return sequence, np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
 def cut(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

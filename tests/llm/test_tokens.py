@@ -121,6 +121,12 @@ def test_plan_places_each_piece_once(h):
     assert len(room) <= 1.1 * len(free) + 1
 
 
+@pytest.mark.parametrize(("h", "most"), [({2050: 200, 2046: 200}, 200), ({1366: 300, 1365: 300, 1300: 300}, 300), ({4096: 7, 1: 5}, 8), ({}, 0)])
+def test_plan_uses_room_that_bins_hide(h, most):
+    rows = plan(h)
+    assert max((r[4] + r[2] // r[3] for r in rows.tolist()), default=0) <= most
+
+
 def test_packing(spark):
     df = spark.createDataFrame([*ROWS, *[(100 + i, "w " * (i % 40 * 30), None) for i in range(120)]], "doc_id bigint, text string, piece string")
     got = pack_documents(df, tokenizer_path(NAMES[1])).collect()
