@@ -122,7 +122,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     different = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "different")
     joined = components(links(different.select("fp"), radius)).withColumnRenamed("node", "fp")
     roots = different.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join are plain exchanges, which Spark can split at a large component
+    smallest = materialize(roots.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     classes = materialize(roots.join(smallest, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
