@@ -29,6 +29,8 @@ from headway.llm.common import shuffle_partitions, text_slices
 
 LEAST = 50
 GRAM = 20
+#: Bytes of text that are looked at together, and suffixes that are sorted together if their anchors allow.
+SLICE, SUFFIXES = 1 << 20, 1 << 18
 _LOW = np.uint64((1 << 27) - 1)
 _TABLE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(29))
 
@@ -55,7 +57,7 @@ def _grams(data: np.ndarray, k: int) -> np.ndarray:
     return total
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, least: int, gram: int, step: int = 4 << 20) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, ends: np.ndarray, least: int, gram: int, step: int = SLICE) -> tuple[np.ndarray, ...]:
     """data: texts one after the other, text i ending at ends[i]. For each segment: its text, its first and
     last window start, and the hash of its anchor. Works on `step` window starts at a time; a segment over such
     a border comes as two."""
@@ -171,6 +173,30 @@ def _merge(held: dict[bytes, tuple[int, list]], content: bytes, doc: int, owner:
         done.append((*owner, len(content)))
 
 
+def _by_anchor(segments: list[bytes], least: int, gram: int, most: int = SUFFIXES) -> Iterator[list[bytes]]:
+    """The segments in lists of about `most` suffixes; those of one anchor stay together, single ones are left out."""
+    if not segments:
+        return
+    ends = np.cumsum([len(s) for s in segments])
+    doc, _, _, h = anchors(np.frombuffer(b"".join(segments), np.uint8), ends, least, gram)
+    anchor = np.zeros(len(segments), np.uint64)
+    anchor[doc] = h
+    order = np.argsort(anchor, kind="stable")
+    part, size = [], 0
+    for _, a, z in _cuts(anchor[order]):
+        if z - a == 1:
+            continue
+        own = [segments[i] for i in order[a:z].tolist()]
+        n = sum(map(len, own)) - (least - 1) * len(own)
+        if part and size + n > most:
+            yield part
+            part, size = [], 0
+        part.extend(own)
+        size += n
+    if part:
+        yield part
+
+
 def _pack_spans(spans: list[tuple[int, int, int]]) -> bytes:
     """(row key, start, length), ..."""
     rows = np.array(spans, np.uint64).reshape(-1, 3) if spans else np.zeros((0, 3), np.uint64)
@@ -191,7 +217,7 @@ def _cuts(keys: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _slices(table: pa.Table, column: str) -> Iterator[pa.RecordBatch]:
-    return text_slices(iter(table.combine_chunks().to_batches()), column)
+    return text_slices(iter(table.combine_chunks().to_batches()), column, SLICE)
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -241,7 +267,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([_to_six(h[a:z]) + g[a:z].tobytes() for _, a, z in cuts], pa.binary())], ["b", "payload"])
 
-        for batch in text_slices(batches, "__text"):
+        for batch in text_slices(batches, "__text", SLICE):
             data, ends = _joined(batch.column("__text"))
             doc, _, _, h = anchors(data, ends, least, gram)
             order = np.lexsort((h, doc))
@@ -324,8 +350,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
         own: dict[int, list[tuple[int, int, int]]] = {}
         for g, k, s, m in done:
             own.setdefault(g, []).append((k, s, m))
-        if len(held) > 1:
-            contents = list(held)
+        for contents in _by_anchor(list(held), least, gram):
             docs = np.array([held[c][0] for c in contents], np.int64)
             seg, place, lcp, left = suffix_array(contents, least)
             of = docs[seg]
