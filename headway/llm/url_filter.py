@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MOST_ROWS = 20_000
+RANGE_BITS = 14
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "host_entropy", "parameters", "query_length", "suffix_rate", "suffix_count", "domain_rate", "domain_count")
 
 
@@ -162,7 +163,13 @@ def train(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", most_
     class only, the model gives the rate of bad ones (0.5 without rows)."""
     rows = labelled.select(F.col(url_col).alias("__url"), F.col(bad_col).cast("boolean").alias("bad")).where("__url is not null and bad is not null")
     rows = rows.select("__url", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"), "bad")
-    data = rows.orderBy(F.xxhash64("__url"), "__url", "bad").limit(most_rows).toPandas()
+    # the first rows by hash; counts of hash ranges bound what the tasks send for that
+    rows = rows.withColumns({"__h": F.xxhash64("__url"), "__range": F.shiftright(F.xxhash64("__url"), 64 - RANGE_BITS)})
+    counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("__range")  # at most 2 ** RANGE_BITS rows
+    enough = counts["__range"][counts["n"].cumsum() >= most_rows]
+    if len(enough):
+        rows = rows.where(F.col("__range") <= F.lit(int(enough.iloc[0])))
+    data = rows.orderBy("__h", "__url", "bad").limit(most_rows).drop("__h", "__range").toPandas()
     y = data["bad"].to_numpy(dtype=float)
     stats = SuffixStats.fit(data["host"].tolist(), y)
     return UrlModel(stats, BoostedTrees().fit(features(data["__url"].tolist(), data["host"].tolist(), data["path"].tolist(), stats), y))

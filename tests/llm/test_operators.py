@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from headway.llm import audio, html_main, mixing, quality, simhash, suffix_dedup, url_filter
 from headway.llm.components import components
@@ -182,6 +183,16 @@ def test_main_text(spark):
     assert len(got) == len(rows) and all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_training_rows_are_the_first_by_hash(spark):
+    rows = [(f"http://h{i}.net/{i % 3}", i % 3 == 0) for i in range(400)] * 2 + [(None, True), ("http://x.y", None)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean").repartition(7)
+    first = labelled.where("url is not null and bad is not null").orderBy(F.xxhash64("url"), "url", "bad").limit(150).collect()
+    seen = [r["url"] for r in first]
+    args = ([u for u, _ in rows[:50]], ["h.net"] * 50, ["/1"] * 50)
+    want = url_filter.train(spark.createDataFrame(first, "url string, bad boolean"))
+    assert len(seen) == 150 and url_filter.train(labelled, most_rows=150).predict(*args).tolist() == want.predict(*args).tolist()
+
+
 def test_audio(spark):
     rng = np.random.default_rng(2)
     t = np.arange(int(0.4 * audio.RATE)) / audio.RATE
