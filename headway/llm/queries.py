@@ -31,7 +31,7 @@ def sonify(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tones: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(k, 32) for b in batches for k in range(0, b.num_rows, 32)):
             out = []
             for v in batch.column("vector"):
                 x = np.array([0.0 if y is None else y for y in v.as_py() or []], float)
