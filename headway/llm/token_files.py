@@ -45,7 +45,7 @@ def write_token_files(documents: DataFrame, path: str, out_dir: str | None = Non
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, part = encoder(path), None, 0
-        for batch in text_slices(batches, "text", 8 << 20):
+        for batch in text_slices(batches, "text", 16 << 20):
             if out is None:
                 part = batch.column("part")[0].as_py()
                 files, where = _filesystem(f"{out_dir}/part-{part:06d}.pfor")

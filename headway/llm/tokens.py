@@ -8,6 +8,7 @@ the whole text comes out; texts where a cut could matter go to the library whole
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 
@@ -20,6 +21,8 @@ SPLITS = {"word_bpe_49k.json": "word", "byte_bpe_50k.json": "space"}
 _WHITE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space inside a run of white space that isn't its first or last character, or a special token's string.
 _WHOLE = rf"{_WHITE} (?:{_WHITE}|\z)|<\|"
+#: Marks that both vocabularies take as a run of its own after letters, and the first character behind the Latin letters.
+_MARKS, _NOT_LATIN = ".,;:!?*%#&$", "\u0250"
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,6 +40,26 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, pick: np.ndar
     return flat[at], n
 
 
+def cut(piece: str, split: str) -> tuple[str, ...]:
+    """The parts of a piece that are encoded apart where these are plain: Latin words (without their case for
+    "word"), the marks after them and, for "space", single line feeds between them. Other pieces stay whole."""
+    if split == "word":
+        word = piece.rstrip(_MARKS)
+        if not word.isalpha() or max(word) >= _NOT_LATIN or "\u0130" in word:
+            return (piece,)
+        return (word.lower(), piece[len(word) :]) if len(word) < len(piece) else (word.lower(),)
+    if piece[1:].isalpha():
+        return (piece,)
+    out, skip = [], piece.startswith(" ")
+    for line in piece.split("\n"):
+        word = line.rstrip(_MARKS)
+        if not word[skip:].isalpha() or word[-1] >= _NOT_LATIN or not word[0].isalpha() and not skip:
+            return (piece,)
+        out += (word, line[len(word) :], "\n") if len(word) < len(line) else (word, "\n")
+        skip = False
+    return tuple(out[:-1])
+
+
 class PieceEncoder:
     """Encodes Arrow string arrays. The cache holds `most` pieces in each of two generations: pieces that
     are asked for again stay, others go. `frequent` (piece to number of tokens) is looked at first by counts()."""
@@ -58,50 +81,97 @@ class PieceEncoder:
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.n_bytes[i] = len(token.removesuffix("</w>") if self.split == "word" else token)
+        # byte-level vocabularies write a space as U+0120 and a line feed as U+010A
+        self.spaced = np.zeros(len(self.n_bytes), bool)
+        self.spaced[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
+        self.feed = vocab.get("\u010a", -1)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece. Pieces that can stand in one text without touching are encoded as one text
-        and told apart by the bytes their ids stand for; if that doesn't come out even, one by one."""
+        and told apart: those after a space by the tokens that begin with one, those between line feeds by these,
+        words by the bytes their ids stand for. What doesn't come out even goes one by one."""
+        out: list[bytes | None] = [None] * len(pieces)
         if self.split == "word":
-            joins = [p != "" and "<|" not in p and (p.isascii() or unicodedata.is_normalized("NFC", p)) for p in pieces]
-            size = lambda p: len(p.lower().encode())
+            groups = {"": [i for i, p in enumerate(pieces) if p != "" and "<|" not in p and (p.isascii() or unicodedata.is_normalized("NFC", p))]}
         else:
-            joins = [len(p) > 1 and p[0] == " " and "<|" not in p and not p[1].isspace() and not p[-1].isspace() for p in pieces]
-            size = lambda p: len(p.encode())
-        together = [p for p, j in zip(pieces, joins, strict=True) if j]
-        out: list[bytes | None] = [None] * len(pieces)
-        if len(together) > 1:
-            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.split == "word" else "").join(together)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([size(p) for p in together])
-            reached = np.cumsum(self.n_bytes[ids])
-            at = np.searchsorted(reached, ends)
-            if len(reached) and reached[-1] == ends[-1] and (reached[np.minimum(at, len(reached) - 1)] == ends).all():
-                data, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
-                parts = iter([data[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
-                out = [next(parts) if j else None for j in joins]
+            groups = {" ": [], "\n": []}
+            for i, p in enumerate(pieces):
+                if p.isalpha():
+                    groups["\n"].append(i)
+                elif p[1:].isalpha() and p[0] == " " or len(p) > 1 and p[0] == " " and "<|" not in p and not p[1].isspace() and not p[-1].isspace():
+                    groups[" "].append(i)
+        for joint, group in groups.items():
+            if len(group) < 2:
+                continue
+            together = [pieces[i] for i in group]
+            text = "\n" + "\n".join(together) if joint == "\n" else ("" if joint else " ").join(together)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            if joint:
+                starts = np.flatnonzero(ids == self.feed if joint == "\n" else self.spaced[ids])
+                even = len(starts) == len(together)
+                begins, ends = starts + (joint == "\n"), np.append(starts[1:], len(ids))
+            else:
+                sizes = np.cumsum([len(p.lower().encode()) for p in together])
+                reached = np.cumsum(self.n_bytes[ids])
+                ends = np.searchsorted(reached, sizes) + 1
+                even = len(reached) and reached[-1] == sizes[-1] and (reached[np.minimum(ends, len(reached)) - 1] == sizes).all()
+                begins = np.append(0, ends[:-1])
+            if even:
+                data = ids.tobytes()
+                for i, a, z in zip(group, (4 * begins).tolist(), (4 * ends).tolist(), strict=True):
+                    out[i] = data[a:z]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
     def _lookup(self, pieces: list[str], counts: bool) -> list:
-        young, old = self.young, self.old
-        out = [young.get(p) for p in pieces]
-        missing = []
-        for i, x in enumerate(out):
-            if x is None:
-                x = old.get(p := pieces[i])
-                if x is None:
-                    missing.append(i)
-                else:
-                    out[i] = young[p] = x
+        """The ids, or their number, of each piece. It makes no cycles, so the long lists aren't searched for them."""
+        was_on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._from_cache(pieces, counts)
+        finally:
+            if was_on:
+                gc.enable()
+
+    def _from_cache(self, pieces: list[str], counts: bool) -> list:
+        young, old, split = self.young, self.old, self.split
+        out = list(map(young.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if old:
+            for i, x in zip(missing, list(map(old.get, [pieces[i] for i in missing])), strict=True):
+                if x is not None:
+                    out[i] = young[pieces[i]] = x
+            missing = [i for i in missing if out[i] is None]
         for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            for i, ids in zip(part, self._encode_pieces([pieces[i] for i in part]), strict=True):
-                out[i] = young[pieces[i]] = len(ids) // 4 if counts else ids
+            new: dict[str, None] = {}
+            plain, parted, cuts = [], [], []
+            for i in missing[k : k + 20_000]:
+                p = pieces[i]
+                if p[1:].isalpha() if split == "space" else p.islower() and p.isalpha():
+                    new[p] = None
+                    plain.append(i)
+                    continue
+                parts = cut(p, split)
+                parted.append(i)
+                cuts.append(parts)
+                for p in parts:
+                    if p not in young:
+                        if p in old:
+                            young[p] = old[p]
+                        else:
+                            new[p] = None
+            found = self._encode_pieces(list(new))
+            young.update(zip(new, [len(x) // 4 for x in found] if counts else found, strict=True))
+            for i in plain:
+                out[i] = young[pieces[i]]
+            for i, parts in zip(parted, cuts, strict=True):
+                x = [young[p] for p in parts]
+                out[i] = young[pieces[i]] = sum(x) if counts else b"".join(x)
         if len(young) > self.most:
             self.old, self.young = young, {}
         return out
@@ -136,7 +206,7 @@ class PieceEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         offsets, different, index, whole = self._pieces(texts)
         found = self._lookup(different, False)
-        lens = np.fromiter((len(x) for x in found), np.int64, len(found)) // 4
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         ids, n = ragged(flat, np.cumsum(lens) - lens, lens, index) if len(index) else (flat[:0], lens[:0])
         ends = np.concatenate([[0], np.cumsum(n)])[offsets]
