@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import mixing, packing, quality, simhash, suffix_dedup
+from headway.llm import jaccard, mixing, packing, quality, suffix_dedup
 from headway.llm.common import new_path
 from headway.llm.tokens import tokenizer_path
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    return simhash.keep_first(docs)
+    """The first document of each group of near copies: a Jaccard similarity of 0.8 or more on five-word shingles."""
+    return jaccard.keep_first(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("source mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("source mixing", mix_sources), ("packing", pack_sequences)]
 
 #: Shingle hashes, random rounding and the tokenizer aren't expressible in SQL; the operators of the stages have brute-force tests.
 ORACLE_SQL = None

@@ -1,0 +1,169 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+Two sets that are similar enough share one of the first shingles of each in any common order (prefix filter), so
+candidates are those and none is missed. The order puts rare shingles first: it counts hash slots, which only
+decides how many candidates there are. Candidates are checked on the whole sets, neighbours in each shingle's list
+first; then all pairs that are not yet in one component, so a group of near copies costs links, not pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from headway.llm.common import materialize, text_slices
+from headway.llm.components import components
+
+#: Words of a shingle; the least similarity as a fraction.
+WORDS, LEAST, OF = 5, 4, 5
+SLOT_BITS = 20
+
+
+def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
+    """The different hashes of the k-word shingles, sorted; a shorter text is one shingle, a blank one has none."""
+    words = text.lower().split()
+    if len(words) <= k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
+    hash_of = xxhash.xxh64_intdigest
+    h = np.array([hash_of(w, 42) for w in words], np.uint64)
+    n = len(h) - k + 1
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out = (out ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def prefix_size(n: int) -> int:
+    """So many first shingles of a set of n hold one of each set that is similar enough."""
+    return n - -(-LEAST * n // OF) + 1 if n else 0
+
+
+def with_sets(documents: DataFrame, text_col: str) -> DataFrame:
+    """documents with __row, __key (of the words) and __set (the shingles, array<bigint>)."""
+    rows = documents.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.col(text_col).cast("string"))
+    schema = rows.drop("__text").withColumns({"__key": F.lit(0).cast("bigint"), "__set": F.expr("cast(array() as array<bigint>)")}).schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "__text"):
+            texts = pc.fill_null(batch.column("__text"), "").cast(pa.large_binary()).to_pylist()
+            keys = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7) for t in texts], np.uint64).view(np.int64)
+            sets = [shingles(t) for t in texts]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*batch.schema.names[:-1], "__key", "__set"])
+
+    return rows.mapInArrow(each, schema)
+
+
+def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for x in batch.column("__set"):
+        yield x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def slot_counts(held: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of 2 ** SLOT_BITS slots of hashes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for x in _sets(batch):
+                np.add.at(n, x >> np.uint64(64 - SLOT_BITS), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+
+    found = held.select("__set").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # at most 2 ** SLOT_BITS rows
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(held: DataFrame) -> DataFrame:
+    """(s, key, n, pos): the first shingles of each set, its size and the shingle's place in the order."""
+    counts = held.sparkSession.sparkContext.broadcast(slot_counts(held))  # 2 ** SLOT_BITS numbers
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                keys, s, size, pos = part.column("__key").to_numpy(), [], [], []
+                for x in _sets(part):
+                    p = prefix_size(len(x))
+                    s.append(x[np.lexsort((x, counts.value[x >> np.uint64(64 - SLOT_BITS)]))[:p]])
+                    size.append(len(x))
+                    pos.append(np.arange(p, dtype=np.int32))
+                many = [len(x) for x in s]
+                columns = [np.concatenate(s).view(np.int64), np.repeat(keys, many), np.repeat(np.array(size, np.int32), many), np.concatenate(pos)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "key", "n", "pos"])
+
+    return held.select("__key", "__set").mapInArrow(each, "s bigint, key bigint, n int, pos int")
+
+
+def _pairs(lists: DataFrame, every: bool) -> DataFrame:
+    """(a, b), a < b, from lists of (key, n, pos, root): neighbours, or every two of different roots that sizes and places allow."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("of"):
+                v = x.values
+                key, n, pos, root = (v.field(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "pos", "root"))
+                order = np.argsort(key)
+                key, n, pos, root = (c[order].astype(np.int64) for c in (key, n, pos, root))
+                if not every:
+                    yield pa.RecordBatch.from_arrays([pa.array(key[:-1]), pa.array(key[1:])], ["a", "b"])
+                    continue
+                rows = max(1, (1 << 18) // len(key))
+                for at in range(0, len(key), rows):
+                    i = slice(at, at + rows)
+                    small, large = np.minimum(n[i, None], n), np.maximum(n[i, None], n)
+                    most = np.minimum((n - pos)[i, None], n - pos)  # what they can share from here on
+                    near = (root[i, None] != root) & (OF * small >= LEAST * large) & ((LEAST + OF) * most >= LEAST * (n[i, None] + n))
+                    p, q = np.nonzero(near)
+                    p, q = (p + at)[p + at < q], q[p + at < q]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(key[q])], ["a", "b"])
+
+    return lists.select("of").mapInArrow(each, "a bigint, b bigint").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (key, set) are similar enough."""
+    pairs = materialize(pairs, "pairs")
+    left = materialize(pairs.join(sets.toDF("a", "x"), "a"), "left")
+    both = left.join(sets.toDF("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return materialize(both.where((LEAST + OF) * F.col("common") >= LEAST * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+
+
+def classes(held: DataFrame) -> DataFrame:
+    """(key, root) of each key that has a near copy with another key: root is the smallest that chains of near copies reach."""
+    rows = materialize(prefixes(held), "prefixes")
+    shared = materialize(rows.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("s"), "shared")
+    rows = materialize(rows.join(shared, "s"), "candidates")
+    first = held.join(rows.select(F.col("key").alias("__key")).distinct(), "__key", "left_semi").groupBy("__key").agg(F.min("__row").alias("__row"))
+    first = materialize(first, "first")
+    sets = materialize(held.select("__row", F.col("__key").alias("key"), "__set").join(first.select("__row"), "__row").select("key", "__set"), "sets")
+    listed = lambda rows: rows.groupBy("s").agg(F.collect_set(F.struct("key", "n", "pos", "root")).alias("of"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    links = similar(_pairs(listed(rows.withColumn("root", F.col("key"))), False), sets)
+    known = materialize(components(links).withColumnRenamed("node", "key"), "known")
+    rooted = materialize(rows.join(known, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    more = similar(_pairs(listed(rooted), True), sets)
+    return components(links.union(more)).withColumnRenamed("node", "key")
+
+
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of each near-duplicate group that has the group's smallest id; one row of it if it repeats.
+    Documents without an id are kept. Texts are near copies if the sets of their shingles of WORDS words have a Jaccard
+    similarity of LEAST / OF or more, or their words are equal; a group is what chains of near copies reach."""
+    held = materialize(with_sets(documents, text_col), "sets")
+    found = materialize(classes(held), "classes")
+    keys = materialize(held.groupBy("__key").agg(F.min(id_col).alias("least")), "keys")
+    rooted = materialize(keys.join(found.withColumnRenamed("key", "__key"), "__key", "left").withColumn("root", F.coalesce("root", "__key")), "rooted")
+    keep = rooted.groupBy("root").agg(F.min("least").alias("__id")).select("__id").distinct()
+    rows = held.select(*documents.columns)
+    named = rows.join(keep, rows[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(rows.where(F.col(id_col).isNull()))

@@ -109,3 +109,30 @@ def test_cut_characters_go_and_others_stay(spark):
     own = rows[2][1].encode()
     gone = {p + d for p in range(len(own) - 49) if own[p : p + 50] in shared for d in range(50)}
     assert got[3] == "".join(c for k, c in enumerate(rows[2][1]) if not {2 * k, 2 * k + 1} & gone) and gone
+
+
+def word_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def edited(text, n):
+    words = text.split()
+    for k in RNG.sample(range(len(words)), n):
+        words[k] = RNG.choice(WORDS)
+    return " ".join(words)
+
+
+def test_near_dedup_is_jaccard_by_brute_force(spark, tmp_path):
+    texts = [prose(RNG.randint(5, 300)) for _ in range(60)]
+    texts += [edited(t, RNG.randint(1, max(1, len(t.split()) // 40))) for t in texts for _ in range(4)] + [prose(40) + " " + PASSAGE for _ in range(20)] + ["a b c", "A b  c", "a b d", ""]
+    order = RNG.sample(range(len(texts)), len(texts))
+    sets, group, near = [word_shingles(t) for t in texts], list(range(len(texts))), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                near += a != b and (simhash_of(texts[i]) ^ simhash_of(texts[j])).bit_count() > 4
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {min(order[i] for i, x in enumerate(group) if x == g) for g in group}
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in zip(order, texts, strict=True)], SCHEMA).repartition(5)
+    assert near > 20 and {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == want
