@@ -156,14 +156,14 @@ def classes(held: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of each near-duplicate group that has the group's smallest id; one row of it if it repeats.
-    Documents without an id are kept. Texts are near copies if the sets of their shingles of WORDS words have a Jaccard
-    similarity of LEAST / OF or more, or their words are equal; a group is what chains of near copies reach."""
+    """One row of each near-duplicate group: that of the smallest id, then of the smallest hash of the text; rows without an
+    id come last. Ids may repeat: rows that share one but aren't near copies all stay. Texts are near copies if the sets of
+    their shingles of WORDS words have a Jaccard similarity of LEAST / OF or more, or their words are equal; a group is what
+    chains of near copies reach."""
     held = materialize(with_sets(documents, text_col), "sets")
     found = materialize(classes(held), "classes")
-    keys = materialize(held.groupBy("__key").agg(F.min(id_col).alias("least")), "keys")
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("__row").alias("row"))
+    keys = materialize(held.groupBy("__key").agg(F.min(order).alias("best")), "keys")
     rooted = materialize(keys.join(found.withColumnRenamed("key", "__key"), "__key", "left").withColumn("root", F.coalesce("root", "__key")), "rooted")
-    keep = rooted.groupBy("root").agg(F.min("least").alias("__id")).select("__id").distinct()
-    rows = held.select(*documents.columns)
-    named = rows.join(keep, rows[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(rows.where(F.col(id_col).isNull()))
+    keep = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
+    return held.select("__row", *documents.columns).join(keep, "__row", "left_semi").select(*documents.columns)

@@ -126,12 +126,3 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     smallest = materialize(roots.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     classes = materialize(roots.join(smallest, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents of each near-duplicate group that has the group's smallest id; one row of it if it repeats.
-    Documents without an id are kept."""
-    found = near_duplicates(documents, id_col, text_col, k, radius)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = documents.join(keep, documents[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(documents.where(F.col(id_col).isNull()))

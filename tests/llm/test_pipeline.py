@@ -136,3 +136,11 @@ def test_near_dedup_is_jaccard_by_brute_force(spark, tmp_path):
     want = {min(order[i] for i, x in enumerate(group) if x == g) for g in group}
     docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in zip(order, texts, strict=True)], SCHEMA).repartition(5)
     assert near > 20 and {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} == want
+
+
+def test_near_dedup_chooses_rows_not_ids(spark, tmp_path):
+    a, b, c = prose(80), prose(80), prose(80)
+    rows = [(1, a), (2, b), (2, a + " end"), (3, b + " end"), (None, c), (None, c), (None, b), (9, prose(70)), (9, prose(90))]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA).repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[1], rows[4], rows[7], rows[8]], key=str)
