@@ -22,7 +22,7 @@ from headway.llm.components import components
 
 #: Words of a shingle; the least similarity as a fraction.
 WORDS, LEAST, OF = 5, 4, 5
-SLOT_BITS = 20
+SLOT_BITS = 18
 
 
 def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
@@ -45,97 +45,101 @@ def prefix_size(n: int) -> int:
     return n - -(-LEAST * n // OF) + 1 if n else 0
 
 
-def with_sets(documents: DataFrame, text_col: str) -> DataFrame:
-    """documents with __row, __key (of the words) and __set (the shingles, array<bigint>)."""
+def with_keys(documents: DataFrame, text_col: str) -> DataFrame:
+    """documents with __row and __key (of the words)."""
     rows = documents.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.col(text_col).cast("string"))
-    schema = rows.drop("__text").withColumns({"__key": F.lit(0).cast("bigint"), "__set": F.expr("cast(array() as array<bigint>)")}).schema
+    schema = rows.drop("__text").withColumn("__key", F.lit(0).cast("bigint")).schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "__text"):
-            texts = pc.fill_null(batch.column("__text"), "").cast(pa.large_binary()).to_pylist()
-            keys = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7) for t in texts], np.uint64).view(np.int64)
-            sets = [shingles(t) for t in texts]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*batch.schema.names[:-1], "__key", "__set"])
+            keys = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7) for t in _texts(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys)], [*batch.schema.names[:-1], "__key"])
 
     return rows.mapInArrow(each, schema)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for x in batch.column("__set"):
-        yield x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return pc.fill_null(batch.column("__text"), "").cast(pa.large_binary()).to_pylist()
 
 
 def slot_counts(held: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall into each of 2 ** SLOT_BITS slots of hashes."""
+    """How many shingles of all texts fall into each of 2 ** SLOT_BITS slots of hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
-            for x in _sets(batch):
-                np.add.at(n, x >> np.uint64(64 - SLOT_BITS), 1)
+        for batch in text_slices(batches, "__text"):
+            for t in _texts(batch):
+                np.add.at(n, shingles(t) >> np.uint64(64 - SLOT_BITS), 1)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
 
-    found = held.select("__set").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # at most 2 ** SLOT_BITS rows
+    found = held.select("__text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** SLOT_BITS rows
     out = np.zeros(1 << SLOT_BITS, np.int64)
     out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
 def prefixes(held: DataFrame) -> DataFrame:
-    """(s, key, n, pos): the first shingles of each set, its size and the shingle's place in the order."""
+    """(s, key, n): the first shingles of each text and its number of shingles."""
     counts = held.sparkSession.sparkContext.broadcast(slot_counts(held))  # 2 ** SLOT_BITS numbers
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys, s, size, pos = part.column("__key").to_numpy(), [], [], []
-                for x in _sets(part):
-                    p = prefix_size(len(x))
-                    s.append(x[np.lexsort((x, counts.value[x >> np.uint64(64 - SLOT_BITS)]))[:p]])
-                    size.append(len(x))
-                    pos.append(np.arange(p, dtype=np.int32))
-                many = [len(x) for x in s]
-                columns = [np.concatenate(s).view(np.int64), np.repeat(keys, many), np.repeat(np.array(size, np.int32), many), np.concatenate(pos)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "key", "n", "pos"])
+        for batch in text_slices(batches, "__text"):
+            sets = [shingles(t) for t in _texts(batch)]
+            first = [x[np.lexsort((x, counts.value[x >> np.uint64(64 - SLOT_BITS)]))[: prefix_size(len(x))]] for x in sets]
+            many = [len(x) for x in first]
+            columns = [np.concatenate(first).view(np.int64), np.repeat(batch.column("__key").to_numpy(), many), np.repeat(np.array([len(x) for x in sets], np.int32), many)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "key", "n"])
 
-    return held.select("__key", "__set").mapInArrow(each, "s bigint, key bigint, n int, pos int")
+    return held.select("__key", "__text").mapInArrow(each, "s bigint, key bigint, n int")
 
 
-def _pairs(lists: DataFrame, every: bool) -> DataFrame:
-    """(a, b), a < b, from lists of (key, n, pos, root): neighbours, or every two of different roots that sizes and places allow."""
+def sets_of(rows: DataFrame) -> DataFrame:
+    """(key, set array<bigint>) from (__key, __text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "__text"):
+            sets = [shingles(t) for t in _texts(batch)]
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(flat))], ["key", "set"])
+
+    return rows.select("__key", "__text").mapInArrow(each, "key bigint, set array<bigint>")
+
+
+def candidates(lists: DataFrame, every: bool) -> DataFrame:
+    """(a, b), a < b, from each shingle's list of (key, n, root): every two of different roots whose sizes allow it and
+    that share as many first shingles as a similar pair must. Not every: only neighbours in the lists, which share a
+    quarter of that; these are tried first and decide nothing."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column("of"):
                 v = x.values
-                key, n, pos, root = (v.field(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "pos", "root"))
+                key, n, root = (v.field(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "root"))
                 order = np.argsort(key)
-                key, n, pos, root = (c[order].astype(np.int64) for c in (key, n, pos, root))
-                if not every:
-                    yield pa.RecordBatch.from_arrays([pa.array(key[:-1]), pa.array(key[1:])], ["a", "b"])
-                    continue
-                rows = max(1, (1 << 18) // len(key))
+                key, n, root = (c[order].astype(np.int64) for c in (key, n, root))
+                rows = max(1, (1 << 18) // len(key)) if every else len(key)
                 for at in range(0, len(key), rows):
-                    i = slice(at, at + rows)
-                    small, large = np.minimum(n[i, None], n), np.maximum(n[i, None], n)
-                    most = np.minimum((n - pos)[i, None], n - pos)  # what they can share from here on
-                    near = (root[i, None] != root) & (OF * small >= LEAST * large) & ((LEAST + OF) * most >= LEAST * (n[i, None] + n))
-                    p, q = np.nonzero(near)
-                    p, q = (p + at)[p + at < q], q[p + at < q]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(key[q])], ["a", "b"])
-
-    return lists.select("of").mapInArrow(each, "a bigint, b bigint").distinct()
+                    if every:
+                        i = slice(at, at + rows)
+                        p, q = np.nonzero((root[i, None] != root) & (OF * np.minimum(n[i, None], n) >= LEAST * np.maximum(n[i, None], n)))
+                        p, q = (p + at)[p + at < q], q[p + at < q]
+                    else:
+                        p = np.flatnonzero(OF * np.minimum(n[1:], n[:-1]) >= LEAST * np.maximum(n[1:], n[:-1]))
+                        q = p + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[p], key[q], n[p], n[q])], ["a", "b", "na", "nb"])
+
+    pairs = lists.select("of").mapInArrow(each, "a bigint, b bigint, na bigint, nb bigint").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    # o shingles in common, of which the c-th is at most the (c + n - o)-th of a set of n, so in the first ones while c <= o - n + prefix_size(n)
+    common = F.ceil(LEAST * (F.col("na") + F.col("nb")) / (LEAST + OF) - F.lit(1e-6))
+    needed = F.greatest(F.lit(1), common - F.ceil(LEAST * F.greatest("na", "nb") / OF - F.lit(1e-6)) + 1)
+    return pairs.where(F.col("shared") >= needed if every else 4 * F.col("shared") >= needed).select("a", "b")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (key, set) are similar enough."""
     pairs = materialize(pairs, "pairs")
-    left = materialize(pairs.join(sets.toDF("a", "x"), "a"), "left")
-    both = left.join(sets.toDF("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return materialize(both.where((LEAST + OF) * F.col("common") >= LEAST * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
 
 
@@ -144,14 +148,14 @@ def classes(held: DataFrame) -> DataFrame:
     rows = materialize(prefixes(held), "prefixes")
     shared = materialize(rows.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("s"), "shared")
     rows = materialize(rows.join(shared, "s"), "candidates")
-    first = held.join(rows.select(F.col("key").alias("__key")).distinct(), "__key", "left_semi").groupBy("__key").agg(F.min("__row").alias("__row"))
-    first = materialize(first, "first")
-    sets = materialize(held.select("__row", F.col("__key").alias("key"), "__set").join(first.select("__row"), "__row").select("key", "__set"), "sets")
-    listed = lambda rows: rows.groupBy("s").agg(F.collect_set(F.struct("key", "n", "pos", "root")).alias("of"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    links = similar(_pairs(listed(rows.withColumn("root", F.col("key"))), False), sets)
+    listed = lambda rows: rows.groupBy("s").agg(F.collect_set(F.struct("key", "n", "root")).alias("of"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    first = held.select("__key", "__row").join(rows.select(F.col("key").alias("__key")).distinct(), "__key", "left_semi").groupBy("__key").agg(F.min("__row").alias("__row"))
+    first = materialize(first.select("__row"), "first")
+    sets = materialize(sets_of(held.select("__row", "__key", "__text").join(first, "__row", "left_semi")), "sets")
+    links = similar(candidates(listed(rows.withColumn("root", F.col("key"))), False), sets)
     known = materialize(components(links).withColumnRenamed("node", "key"), "known")
     rooted = materialize(rows.join(known, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
-    more = similar(_pairs(listed(rooted), True), sets)
+    more = similar(candidates(listed(rooted), True), sets)
     return components(links.union(more)).withColumnRenamed("node", "key")
 
 
@@ -160,10 +164,12 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id come last. Ids may repeat: rows that share one but aren't near copies all stay. Texts are near copies if the sets of
     their shingles of WORDS words have a Jaccard similarity of LEAST / OF or more, or their words are equal; a group is what
     chains of near copies reach."""
-    held = materialize(with_sets(documents, text_col), "sets")
-    found = materialize(classes(held), "classes")
+    held = materialize(with_keys(documents, text_col), "keyed")
+    found = materialize(classes(held.select("__row", "__key", F.col(text_col).cast("string").alias("__text"))), "classes")
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("__row").alias("row"))
     keys = materialize(held.groupBy("__key").agg(F.min(order).alias("best")), "keys")
     rooted = materialize(keys.join(found.withColumnRenamed("key", "__key"), "__key", "left").withColumn("root", F.coalesce("root", "__key")), "rooted")
     keep = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
-    return held.select("__row", *documents.columns).join(keep, "__row", "left_semi").select(*documents.columns)
+    # most rows stay, so those that go are the smaller table to join with
+    gone = materialize(held.select("__row").join(keep, "__row", "left_anti"), "gone")
+    return held.select("__row", *documents.columns).join(gone, "__row", "left_anti").select(*documents.columns)
