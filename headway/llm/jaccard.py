@@ -9,6 +9,7 @@ first; then all pairs that are not yet in one component, so a group of near copi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import materialize, text_slices
+from headway.llm.common import materialize, text_slices, word_list
 from headway.llm.components import components
 
 #: Words of a shingle; the least similarity as a fraction.
@@ -46,16 +47,9 @@ def prefix_size(n: int) -> int:
 
 
 def with_keys(documents: DataFrame, text_col: str) -> DataFrame:
-    """documents with __row and __key (of the words)."""
-    rows = documents.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.col(text_col).cast("string"))
-    schema = rows.drop("__text").withColumn("__key", F.lit(0).cast("bigint")).schema
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "__text"):
-            keys = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7) for t in _texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys)], [*batch.schema.names[:-1], "__key"])
-
-    return rows.mapInArrow(each, schema)
+    """documents with __row and __key (a hash of the words, as shingles() reads them)."""
+    lower = F.translate(F.col(text_col).cast("string"), ascii_uppercase, ascii_lowercase)
+    return documents.withColumn("__row", F.monotonically_increasing_id()).withColumn("__key", F.xxhash64(F.array_join(word_list(lower), " ")))
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
