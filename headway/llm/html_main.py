@@ -143,22 +143,30 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
 
 def main_nodes(root: list) -> set[int]:
     """Node numbers whose blocks may be the article's: inside article or main, if the tree has one, and never
-    under an element or name that says otherwise."""
+    under an element or name that says otherwise. If such names drop every article and main, those of the elements
+    around them don't count."""
     inside: set[int] = set()
     anywhere: set[int] = set()
 
-    def walk(node: list, dropped: bool, article: bool) -> None:
+    def holds(node: list) -> bool:
+        return any(child[0].split(".")[0] in ("article", "main") or holds(child) for child in node[2])
+
+    def walk(node: list, dropped: bool, article: bool, lenient: bool) -> None:
         tag, *names = node[0].split(".")
-        dropped = dropped or tag in DROP_TAGS or (tag == "header" and not article) or bool(tag not in ("html", "body") and DROP_NAMES.intersection(names))
+        named = tag not in ("html", "body") and bool(DROP_NAMES.intersection(names)) and not (lenient and not article and holds(node))
+        dropped = dropped or tag in DROP_TAGS or (tag == "header" and not article) or named
         article = article or tag in ("article", "main")
         if not dropped:
-            anywhere.add(node[1])
+            if not lenient:
+                anywhere.add(node[1])
             if article:
                 inside.add(node[1])
         for child in node[2]:
-            walk(child, dropped, article)
+            walk(child, dropped, article, lenient)
 
-    walk(root, False, False)
+    walk(root, False, False, False)
+    if not inside and holds(root):
+        walk(root, False, False, True)
     return inside or anywhere
 
 

@@ -203,3 +203,10 @@ def test_audio(spark):
     got = {r["id"]: r for r in audio.search(audio.fingerprint(spark.createDataFrame(rows, "i bigint, a binary"), "i", "a"), "id % 2 = 0").collect()}
     assert set(got) == {0, 2, 4, 6} and got[4]["class_id"] == 0 and got[6]["n_links"] == 0
     assert got[0]["n_links"] == 1 and got[0]["best_match"] == 2 and got[2]["best_match"] == 0 and got[0]["offset"] == -got[2]["offset"] == -20
+
+
+def test_names_around_the_article_do_not_drop_it():
+    kept = lambda page: [t for (path, t), n in zip(html_main.blocks(page), html_main.skeleton([p for p, _ in html_main.blocks(page)])[1], strict=True) if n in html_main.main_nodes(html_main.skeleton([p for p, _ in html_main.blocks(page)])[0])]
+    page = '<div class="{}"><p>Before</p><article><p>Text</p><div class="related"><p>More</p></div></article></div><p>After</p>'
+    assert kept(page.format("no-sidebar")) == kept(page.format("related")) == kept(page.format("x")) == ["Text"]
+    assert kept('<article><p>Text</p></article><div class="comments"><article><p>Nice</p></article></div>') == ["Text"]
