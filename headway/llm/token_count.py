@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup on the map side; no pre-token is ever shuffled.
 
-Tier one is a table of the lengths of frequent pre-tokens, made once on the driver from the first
-`sample_rows` texts and broadcast: `table_size` entries at most, whatever the input. Tier two is the
-cache of each Python worker. Both only save work: a pre-token in neither is encoded by the library.
+Tier one is a table of the lengths of frequent pre-tokens, counted over all texts, made once on the driver
+and broadcast: `table_size` entries at most, whatever the input. Each task sends its `table_size` most frequent
+ones. Tier two is the cache of each Python worker. Both only save work: a pre-token in neither is encoded by the library.
 """
 
 from __future__ import annotations
@@ -18,23 +18,26 @@ from pyspark.sql import functions as F
 from headway.llm.common import text_slices
 from headway.llm.tokens import PieceEncoder, encoder
 
-SAMPLE_ROWS = 1000
 TABLE_SIZE = 20_000
+#: A task's counter is cut back to half of this when it grows beyond, so rare words of many may be counted short.
+MOST_HELD = 400_000
 
 
-def frequent_lengths(documents: DataFrame, text_col: str, path: str, sample_rows: int = SAMPLE_ROWS, table_size: int = TABLE_SIZE) -> dict[str, int]:
-    """Pre-token to number of tokens, for the most frequent pre-tokens of the sample."""
+def frequent_lengths(documents: DataFrame, text_col: str, path: str, table_size: int = TABLE_SIZE) -> dict[str, int]:
+    """Pre-token to number of tokens, for the most frequent pre-tokens of all texts."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in text_slices(batches, "text"):
             for x in pc.value_counts(pc.ascii_split_whitespace(batch.column("text")).flatten()):
                 seen[x["values"].as_py()] += x["counts"].as_py()
+            if len(seen) > MOST_HELD:
+                seen = Counter(dict(seen.most_common(MOST_HELD // 2)))
         top = seen.most_common(table_size)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    sample = documents.select(F.col(text_col).cast("string").alias("text")).limit(sample_rows)  # warms the table only
-    top = sample.mapInArrow(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size)
+    texts = documents.select(F.col(text_col).cast("string").alias("text"))
+    top = texts.mapInArrow(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size)
     pieces = [r["word"] for r in top.collect() if r["word"]]
     enc = PieceEncoder(path)
     return dict(zip(pieces, (len(e) for e in enc.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)), strict=True)) if enc.split == "word" else {}

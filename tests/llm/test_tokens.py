@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from headway.llm import pfor
+from headway.llm import pfor, token_count
 from headway.llm.packing import LIMIT, pack_documents, patterns, plan
 from headway.llm.token_count import count_tokens
 from headway.llm.token_files import read_token_files, write_token_files
@@ -146,3 +146,8 @@ def test_packing(spark):
         assert at <= LIMIT
     assert len(room) <= -(-sum(w[3] for w in want) // LIMIT) + 2
     assert pack_documents(df.where("false"), tokenizer_path(NAMES[1])).count() == 0
+
+
+def test_frequent_words_are_those_of_all_rows(spark):
+    docs = spark.createDataFrame([("first words",)] * 1500 + [("later text " * 5,)] * 600, "text string").coalesce(1)
+    assert set(token_count.frequent_lengths(docs, "text", tokenizer_path("word_bpe_49k.json"), table_size=2)) == {"later", "text"}
