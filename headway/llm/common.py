@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +18,11 @@ WHITE = " \t\n\u000b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset and all runs on this machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="headway-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -52,6 +56,22 @@ def word_count(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("bigint")
 
 
+def give_back() -> None:
+    """Returns memory that this Python worker has freed to the system. Workers live on between tasks, stages and
+    operators, and without this keep the most that any of these needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task yields; then its memory is given back."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that one slice holds about `most` bytes of text; a longer text stands alone."""
     for batch in batches:

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.llm.common import materialize, shuffle_partitions, text_slices
-from headway.llm.tokens import encoder
+from headway.llm.common import materialize, shuffle_partitions, text_slices, tidy
+from headway.llm.tokens import SLICE, encoder
 
 LIMIT = 4096
 END_ID = 1
@@ -171,7 +171,7 @@ def cut(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in text_slices(batches, "text", 8 << 20):
+        for batch in text_slices(batches, "text", SLICE):
             ids, sizes = enc.encode(batch.column("text"))
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             n = -(-sizes // limit)
@@ -186,7 +186,7 @@ def cut(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 columns.append(pa.array([bytes(p) for p in parts], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return rows.mapInArrow(pieces, schema)
+    return rows.mapInArrow(lambda batches: tidy(pieces(batches)), schema)
 
 
 def ranked(pieces: DataFrame, by: str, salts: int) -> DataFrame:

@@ -65,7 +65,7 @@ def encode_chunk(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     at = min(BLOCK - 1, max(0, int(np.ceil(percentile / 100 * BLOCK)) - 1))
     chosen = np.partition(diff, at, axis=1)[:, at].astype(np.float64)
     width = np.ceil(np.log2(chosen + 1)).astype(np.uint8)
-    over = diff >= (np.uint64(1) << width.astype(np.uint64))[:, None]
+    over = diff > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     place, value = np.nonzero(over)[1].astype(np.uint8), diff[over]
     exc = np.concatenate([[0], np.cumsum(over.sum(axis=1))]).astype("<u4")
     diff[over] = 0

@@ -97,7 +97,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_count.count_tokens(documents.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")), tokenizer_path("word_bpe_49k.json"))
+    counted = token_count.count_tokens(documents.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")), tokenizer_path("word_bpe_49k.json"), keep=("doc_id", "n_bytes"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 

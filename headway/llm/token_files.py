@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import pfor
-from headway.llm.common import new_path, shuffle_partitions, text_slices
-from headway.llm.tokens import encoder
+from headway.llm.common import new_path, shuffle_partitions, text_slices, tidy
+from headway.llm.tokens import SLICE, encoder
 
 END_ID = 2
 MANIFEST = "part int, path string, n_docs bigint, n_ids bigint"
@@ -35,17 +35,18 @@ def write_token_files(documents: DataFrame, path: str, out_dir: str | None = Non
     of ids in earlier files.
 
     Ascending id order, null ids first; rows with equal ids come in the order of their texts, null
-    before empty. A null text is empty and has the end id only. An empty table gives an empty manifest. out_dir:
-    a folder all executors reach, the shared folder by default."""
+    before empty. Ids that many rows share are dealt by the beginning of the text, so they are no single task's. A
+    null text is empty and has the end id only; a long one is encoded whole and alone. Other columns are left out. An
+    empty table gives an empty manifest. out_dir: a folder all executors reach, the shared folder by default."""
     spark = documents.sparkSession
     out_dir = (out_dir or new_path(spark, "tokens")).rstrip("/")
     n = shuffle_partitions(spark)
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
+    ordered = rows.repartitionByRange(n, F.col("id"), F.substring("text", 1, 100)).sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, part = encoder(path), None, 0
-        for batch in text_slices(batches, "text", 16 << 20):
+        for batch in text_slices(batches, "text", SLICE):
             if out is None:
                 part = batch.column("part")[0].as_py()
                 files, where = _filesystem(f"{out_dir}/part-{part:06d}.pfor")
@@ -64,7 +65,7 @@ def write_token_files(documents: DataFrame, path: str, out_dir: str | None = Non
             files.move(own, where)
             yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{out_dir}/part-{part:06d}.pfor", "n_docs": n_docs, "n_ids": n_ids}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    lines = sorted(ordered.mapInArrow(write, MANIFEST).collect())  # one for each file
+    lines = sorted(ordered.mapInArrow(lambda batches: tidy(write(batches)), MANIFEST).collect())  # one for each file
     starts = np.cumsum([0, *(x["n_ids"] for x in lines)])
     return spark.createDataFrame([(*x, int(s)) for x, s in zip(lines, starts[:-1], strict=True)], f"{MANIFEST}, start bigint")
 
@@ -85,4 +86,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64(), mask=file.is_null), *(pa.array(x, pa.int64()) for x in (start, file.sizes, crcs))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = manifest.repartition(max(1, shuffle_partitions(spark)), "part")
-    return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spread.mapInArrow(lambda batches: tidy(read(batches)), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -1,9 +1,10 @@
-"""Exact tokenization by pieces, with a cache of pieces in each Python worker.
+"""Exact tokenization by pieces, with a bounded cache of pieces in each Python worker.
 
 Both vocabularies split a text before BPE runs, and never join what stands on the two sides of certain
-white space. So a text is cut there, each different piece of a batch is encoded once by the tokenizers
-library, and the ids of the text are gathered from those of its pieces. What the library would give for
-the whole text comes out; texts where a cut could matter go to the library whole.
+white space, nor Latin letters and the marks that end a word. So a text is cut there, each different piece
+of a batch is encoded once by the tokenizers library, and the ids of the text are gathered from those of its
+pieces. What the library would give for the whole text comes out; texts where a cut could matter go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import gc
 import os
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,17 @@ import pyarrow.compute as pc
 
 #: How texts are cut for each known file: at white space that the tokenizer drops, or before single spaces.
 SPLITS = {"word_bpe_49k.json": "word", "byte_bpe_50k.json": "space"}
+#: Bytes of text that are encoded together.
+SLICE = 12 << 20
+#: Pieces that a cache holds at most, and bytes of a piece that it takes: together some 40 MB.
+MOST_PIECES, PIECE_BYTES = 200_000, 48
 _WHITE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: A space inside a run of white space that isn't its first or last character, or a special token's string.
-_WHOLE = rf"{_WHITE} (?:{_WHITE}|\z)|<\|"
-#: Marks that both vocabularies take as a run of its own after letters, and the first character behind the Latin letters.
-_MARKS, _NOT_LATIN = ".,;:!?*%#&$", "\u0250"
+_SOLID = _WHITE.replace("[", "[^", 1)
+#: A space inside a run of white space that isn't its first or last character, a special token's string, or the
+#: character that cuts are marked with.
+_WHOLE = rf"{_WHITE} (?:{_WHITE}|\z)|<\||\x01"
+#: A Latin letter, the marks after it and the end of the word: both vocabularies split between the two.
+_ENDED = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?*%#&$]+)"
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,35 +44,17 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, pick: np.ndar
     n = lens[pick]
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
-    at = np.repeat(starts[pick] - (ends - n), n) + np.arange(total)
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts[pick] - (ends - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
     return flat[at], n
 
 
-def cut(piece: str, split: str) -> tuple[str, ...]:
-    """The parts of a piece that are encoded apart where these are plain: Latin words (without their case for
-    "word"), the marks after them and, for "space", single line feeds between them. Other pieces stay whole."""
-    if split == "word":
-        word = piece.rstrip(_MARKS)
-        if not word.isalpha() or max(word) >= _NOT_LATIN or "\u0130" in word:
-            return (piece,)
-        return (word.lower(), piece[len(word) :]) if len(word) < len(piece) else (word.lower(),)
-    if piece[1:].isalpha():
-        return (piece,)
-    out, skip = [], piece.startswith(" ")
-    for line in piece.split("\n"):
-        word = line.rstrip(_MARKS)
-        if not word[skip:].isalpha() or word[-1] >= _NOT_LATIN or not word[0].isalpha() and not skip:
-            return (piece,)
-        out += (word, line[len(word) :], "\n") if len(word) < len(line) else (word, "\n")
-        skip = False
-    return tuple(out[:-1])
-
-
 class PieceEncoder:
-    """Encodes Arrow string arrays. The cache holds `most` pieces in each of two generations: pieces that
-    are asked for again stay, others go. `frequent` (piece to number of tokens) is looked at first by counts()."""
+    """Encodes Arrow string arrays. The cache holds `most` pieces of PIECE_BYTES bytes at most; when it is full, those
+    that the last batch had most often stay. `frequent` (piece to number of tokens) is looked at first by counts()."""
 
-    def __init__(self, path: str, split: str | None = None, frequent: dict[str, int] | None = None, most: int = 300_000):
+    def __init__(self, path: str, split: str | None = None, frequent: dict[str, int] | None = None, most: int = MOST_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,8 +64,7 @@ class PieceEncoder:
         self.split = split or SPLITS.get(os.path.basename(path))
         self.frequent = frequent or {}
         self.most = most
-        self.young: dict = {}
-        self.old: dict = {}
+        self.forget()
         # bytes that each id stands for: a vocabulary string has one character for each, and perhaps a word end
         vocab = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -86,129 +75,111 @@ class PieceEncoder:
         self.spaced[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
         self.feed = vocab.get("\u010a", -1)
 
+    def forget(self) -> None:
+        """Empties the cache: place of each piece in lens, and the ids one after the other."""
+        self.places: dict[str, int] = {}
+        self.ids, self.lens = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4") for t in texts for e in self.tokenizer.encode_batch_fast([t], add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece. Pieces that can stand in one text without touching are encoded as one text
-        and told apart: those after a space by the tokens that begin with one, those between line feeds by these,
-        words by the bytes their ids stand for. What doesn't come out even goes one by one."""
-        out: list[bytes | None] = [None] * len(pieces)
+    def _groups(self, pieces: pa.Array) -> dict[str, np.ndarray]:
+        """The pieces that can stand in one text without touching, by what joins them: words by a space, pieces after
+        a space by nothing more, others between line feeds."""
         if self.split == "word":
-            groups = {"": [i for i, p in enumerate(pieces) if p != "" and "<|" not in p and (p.isascii() or unicodedata.is_normalized("NFC", p))]}
-        else:
-            groups = {" ": [], "\n": []}
-            for i, p in enumerate(pieces):
-                if p.isalpha():
-                    groups["\n"].append(i)
-                elif p[1:].isalpha() and p[0] == " " or len(p) > 1 and p[0] == " " and "<|" not in p and not p[1].isspace() and not p[-1].isspace():
-                    groups[" "].append(i)
-        for joint, group in groups.items():
-            if len(group) < 2:
-                continue
-            together = [pieces[i] for i in group]
-            text = "\n" + "\n".join(together) if joint == "\n" else ("" if joint else " ").join(together)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            if joint:
-                starts = np.flatnonzero(ids == self.feed if joint == "\n" else self.spaced[ids])
-                even = len(starts) == len(together)
-                begins, ends = starts + (joint == "\n"), np.append(starts[1:], len(ids))
-            else:
-                sizes = np.cumsum([len(p.lower().encode()) for p in together])
-                reached = np.cumsum(self.n_bytes[ids])
-                ends = np.searchsorted(reached, sizes) + 1
-                even = len(reached) and reached[-1] == sizes[-1] and (reached[np.minimum(ends, len(reached)) - 1] == sizes).all()
-                begins = np.append(0, ends[:-1])
-            if even:
-                data = ids.tobytes()
-                for i, a, z in zip(group, (4 * begins).tolist(), (4 * ends).tolist(), strict=True):
-                    out[i] = data[a:z]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def _lookup(self, pieces: list[str], counts: bool) -> list:
-        """The ids, or their number, of each piece. It makes no cycles, so the long lists aren't searched for them."""
+            plain = np.flatnonzero(pc.string_is_ascii(pieces).to_numpy(zero_copy_only=False) & (pc.binary_length(pieces).to_numpy() > 0))
+            others = np.setdiff1d(np.arange(len(pieces)), plain)
+            return {" ": np.concatenate([plain, others[[bool(p) and unicodedata.is_normalized("NFC", p) for p in pieces.take(pa.array(others)).to_pylist()]]])}
+        match = lambda pattern: np.flatnonzero(pc.match_substring_regex(pieces, pattern).to_numpy(zero_copy_only=False))
+        return {"": match(rf"(?s)\A {_SOLID}(?:.*{_SOLID})?\z"), "\n": match(rf"\A{_SOLID}(?:[^\n]*{_SOLID})?\z")}
+
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after the other, and the number of each piece's. Pieces that can stand in one
+        text without touching are encoded as one text and told apart: those after a space by the tokens that begin with
+        one, those between line feeds by these, words by the bytes their ids stand for. What doesn't come out even goes
+        one by one."""
+        lens, begins = np.full(len(pieces), -1, np.int64), np.zeros(len(pieces), np.int64)
+        flat, size = [], 0
+        strings = pieces.to_numpy(zero_copy_only=False)
+        for joint, group in self._groups(pieces).items():
+            for some in (group[k : k + 20_000] for k in range(0, len(group), 20_000)):
+                together = strings[some].tolist()
+                ids = np.array(self.tokenizer.encode_batch_fast([joint * (joint == "\n") + joint.join(together)], add_special_tokens=False)[0].ids, "<u4")
+                if joint == " ":
+                    sizes = np.cumsum([len(p.lower().encode()) for p in together])
+                    reached = np.cumsum(self.n_bytes[ids])
+                    ends = np.searchsorted(reached, sizes) + 1
+                    even = len(reached) and reached[-1] == sizes[-1] and (reached[np.minimum(ends, len(reached)) - 1] == sizes).all()
+                    first = np.append(0, ends[:-1])
+                else:
+                    starts = np.flatnonzero(ids == self.feed if joint else self.spaced[ids])
+                    even = len(starts) == len(together)
+                    first, ends = starts + (joint == "\n"), np.append(starts[1:], len(ids))
+                if even:
+                    begins[some], lens[some] = first + size, ends - first
+                    flat.append(ids)
+                    size += len(ids)
+        rest = np.flatnonzero(lens < 0).tolist()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast(strings[rest].tolist(), add_special_tokens=False), strict=True):
+            flat.append(np.array(e.ids, "<u4"))
+            begins[i], lens[i] = size, len(flat[-1])
+            size += len(flat[-1])
+        return ragged(np.concatenate(flat) if flat else np.zeros(0, "<u4"), begins, lens, np.arange(len(pieces)))
+
+    def _lookup(self, pieces: pa.Array, often: np.ndarray, counts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, lens): the ids of piece k are ids[begins[k] : begins[k] + lens[k]]; ids are left out for counts.
+        often: how many times the batch has each piece. It makes no cycles, so the long lists aren't searched for them."""
         was_on = gc.isenabled()
         gc.disable()
         try:
-            return self._from_cache(pieces, counts)
+            strings = pieces.to_numpy(zero_copy_only=False)
+            place = np.fromiter(map(self.places.get, strings, repeat(-1)), np.int64, len(pieces))
+            missing = np.flatnonzero(place < 0)
+            ids, lens = self._encode_pieces(pieces.take(pa.array(missing)))
+            place[missing] = len(self.lens) + np.arange(len(missing))
+            all_lens = np.concatenate([self.lens, lens])
+            ids = ids[:0] if counts else np.concatenate([self.ids, ids])
+            begins = np.cumsum(all_lens) - all_lens
+            keep = missing
+            if len(self.places) + len(missing) > self.most:  # the most frequent ones of this batch
+                keep = np.argpartition(-often, min(len(often), self.most // 2) - 1)[: self.most // 2]
+                self.places, self.ids, self.lens = {}, ids[:0], all_lens[:0]
+            keep = keep[pc.binary_length(pieces).to_numpy()[keep] <= PIECE_BYTES]
+            self.places.update(zip(strings[keep].tolist(), range(len(self.lens), len(self.lens) + len(keep)), strict=True))
+            if not counts:
+                self.ids = np.concatenate([self.ids, ragged(ids, begins, all_lens, place[keep])[0]])
+            self.lens = np.concatenate([self.lens, all_lens[place[keep]]])
+            return ids, begins[place], all_lens[place]
         finally:
             if was_on:
                 gc.enable()
 
-    def _from_cache(self, pieces: list[str], counts: bool) -> list:
-        young, old, split = self.young, self.old, self.split
-        out = list(map(young.get, pieces))
-        missing = [i for i, x in enumerate(out) if x is None]
-        if old:
-            for i, x in zip(missing, list(map(old.get, [pieces[i] for i in missing])), strict=True):
-                if x is not None:
-                    out[i] = young[pieces[i]] = x
-            missing = [i for i in missing if out[i] is None]
-        for k in range(0, len(missing), 20_000):
-            new: dict[str, None] = {}
-            plain, parted, cuts = [], [], []
-            for i in missing[k : k + 20_000]:
-                p = pieces[i]
-                if p[1:].isalpha() if split == "space" else p.islower() and p.isalpha():
-                    new[p] = None
-                    plain.append(i)
-                    continue
-                parts = cut(p, split)
-                parted.append(i)
-                cuts.append(parts)
-                for p in parts:
-                    if p not in young:
-                        if p in old:
-                            young[p] = old[p]
-                        else:
-                            new[p] = None
-            found = self._encode_pieces(list(new))
-            young.update(zip(new, [len(x) // 4 for x in found] if counts else found, strict=True))
-            for i in plain:
-                out[i] = young[pieces[i]]
-            for i, parts in zip(parted, cuts, strict=True):
-                x = [young[p] for p in parts]
-                out[i] = young[pieces[i]] = sum(x) if counts else b"".join(x)
-        if len(young) > self.most:
-            self.old, self.young = young, {}
-        return out
-
-    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, dict[int, str]]:
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, dict[int, str]]:
         """Offsets of each text's pieces, the different pieces, the index of each piece in them, and the
         texts that have to be encoded whole, by row."""
-        whole: dict[int, str] = {}
+        if self.split not in ("word", "space"):
+            return np.zeros(len(texts) + 1, np.int64), pa.array([], pa.large_string()), np.zeros(0, np.int32), dict(enumerate(texts.to_pylist()))
+        odd = np.flatnonzero((pc.match_substring_regex(texts, _WHOLE) if self.split == "space" else pc.match_substring(texts, "<|")).to_numpy(zero_copy_only=False))
+        whole = {int(i): texts[int(i)].as_py() for i in odd}
+        if whole:
+            texts = pc.if_else(pa.array(~np.isin(np.arange(len(texts)), odd)), texts, "")
         if self.split == "word":
+            # ascii_lower() comes second, as it reads slices of arrays wrongly
+            texts = pc.ascii_lower(pc.replace_substring_regex(texts, _ENDED + r"(\s|\z)", r"\1 \2\3"))
             lists = pc.ascii_split_whitespace(texts)
-        elif self.split == "space":
-            odd = np.flatnonzero(pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False))
-            if len(odd):
-                whole = {int(i): texts[int(i)].as_py() for i in odd}
-                texts = pc.if_else(pa.array(~np.isin(np.arange(len(texts)), odd)), texts, "")
-            lists = pc.split_pattern(texts, " ")
         else:
-            return np.zeros(len(texts) + 1, np.int64), [], np.zeros(0, np.int64), dict(enumerate(texts.to_pylist()))
+            texts = pc.replace_substring(texts, " ", "\x01 ")
+            texts = pc.replace_substring_regex(texts, rf"({_SOLID})\n({_SOLID})", "\\1\x01\n\x01\\2")
+            lists = pc.split_pattern(pc.replace_substring_regex(texts, _ENDED + r"(\x01|\z)", "\\1\x01\\2\\3"), "\x01")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        index, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        if self.split == "space":  # all pieces but a text's first follow a space
-            first = offsets[:-1]
-            heads = np.unique(index[first])
-            again = {int(k): len(different) + j for j, k in enumerate(heads)}
-            index[first] = [again[int(k)] for k in index[first]]
-            different = [" " + p for p in different] + [different[k] for k in heads]
-        return offsets - offsets[0], different, index, whole
+        return offsets - offsets[0], coded.dictionary, coded.indices.to_numpy(), whole
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty) one after the other, and the number of each text's ids."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        offsets, different, index, whole = self._pieces(texts)
-        found = self._lookup(different, False)
-        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        ids, n = ragged(flat, np.cumsum(lens) - lens, lens, index) if len(index) else (flat[:0], lens[:0])
+        offsets, different, index, whole = self.pieces(pc.fill_null(texts.cast(pa.large_string()), ""))
+        flat, begins, lens = self._lookup(different, np.bincount(index, minlength=len(different)), False)
+        ids, n = ragged(flat, begins, lens, index) if len(index) else (flat[:0], lens[:0])
         ends = np.concatenate([[0], np.cumsum(n)])[offsets]
         sizes = np.diff(ends)
         if whole:
@@ -219,15 +190,14 @@ class PieceEncoder:
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text (null: 0)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        offsets, different, index, whole = self._pieces(texts)
-        known = [self.frequent.get(p) for p in different]
-        rest = [i for i, x in enumerate(known) if x is None]
-        for i, x in zip(rest, self._lookup([different[i] for i in rest], True), strict=True):
-            known[i] = x
-        n = np.array(known, np.int64)[index] if len(index) else np.zeros(0, np.int64)
+        offsets, different, index, whole = self.pieces(pc.fill_null(texts.cast(pa.large_string()), ""))
+        known = np.fromiter(map(self.frequent.get, different.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(different))
+        rest = np.flatnonzero(known < 0)
+        often = np.bincount(index, minlength=len(different))
+        known[rest] = self._lookup(different.take(pa.array(rest)), often[rest], True)[2]
+        n = known[index] if len(index) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate([[0], np.cumsum(n)])[offsets])
-        for i, ids in zip(whole, self._whole(list(whole.values())) if whole else [], strict=True):
+        for i, ids in zip(whole, self._whole(list(whole.values())), strict=True):
             sizes[i] = len(ids)
         return sizes
 
@@ -238,5 +208,8 @@ _ENCODERS: dict[tuple, PieceEncoder] = {}
 def encoder(path: str, kind: str = "ids", frequent: dict[str, int] | None = None) -> PieceEncoder:
     """This worker's encoder; one for each file and kind of cached value."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = PieceEncoder(path, frequent=frequent)
-    return _ENCODERS[path, kind]
+        _ENCODERS.clear()  # a worker that another operator used before holds one at a time
+        _ENCODERS[path, kind] = PieceEncoder(path)
+    enc = _ENCODERS[path, kind]
+    enc.frequent = frequent or {}
+    return enc
