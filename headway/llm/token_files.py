@@ -42,7 +42,7 @@ def write_token_files(documents: DataFrame, path: str, out_dir: str | None = Non
     out_dir = (out_dir or new_path(spark, "tokens")).rstrip("/")
     n = shuffle_partitions(spark)
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(n, F.col("id"), F.substring("text", 1, 100)).sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
+    ordered = rows.repartitionByRange(n, F.col("id"), F.substring("text", 1, 32)).sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, part = encoder(path), None, 0
