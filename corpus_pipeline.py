@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import jaccard, mixing, packing, quality, suffix_dedup
+from headway.llm import mixing, packing, quality, simhash, suffix_dedup
 from headway.llm.common import new_path
 from headway.llm.tokens import tokenizer_path
 
@@ -20,8 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: a Jaccard similarity of 0.8 or more on five-word shingles."""
-    return jaccard.keep_first(docs)
+    """The first document of each group of near copies: SimHash fingerprints find them, a similarity of 0.8 or more of their
+    sets of five-word shingles decides. Texts without words are one group, of repeated rows one stays."""
+    return simhash.keep_first(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
