@@ -2,11 +2,15 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
+from itertools import combinations, pairwise
 
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from headway.llm import audio, html_main, mixing, quality, simhash, suffix_dedup, url_filter
@@ -206,7 +210,91 @@ def test_audio(spark):
 
 
 def test_names_around_the_article_do_not_drop_it():
-    kept = lambda page: [t for (path, t), n in zip(html_main.blocks(page), html_main.skeleton([p for p, _ in html_main.blocks(page)])[1], strict=True) if n in html_main.main_nodes(html_main.skeleton([p for p, _ in html_main.blocks(page)])[0])]
+    kept = lambda page: [b.text for b in html_main.parse(page)[1] if b.node in html_main.main_nodes(html_main.parse(page)[0])]
     page = '<div class="{}"><p>Before</p><article><p>Text</p><div class="related"><p>More</p></div></article></div><p>After</p>'
     assert kept(page.format("no-sidebar")) == kept(page.format("related")) == kept(page.format("x")) == ["Text"]
     assert kept('<article><p>Text</p></article><div class="comments"><article><p>Nice</p></article></div>') == ["Text"]
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    began = time.process_time()
+    tree, found = html_main.parse("<div>" * 100_000 + "deep" + "</div>" * 100_000 + "<p>after")
+    assert [b.text for b in found] == ["deep", "after"] and len(tree.keys) == 100_002
+    assert len(html_main.match(tree, tree)) == len(tree.keys) and html_main.article_slots(tree, {100_000: (4, 0)}, html_main.main_nodes(tree))[0] == {99_999, 100_000}
+    for part in ("<a ", '<a b="', '<a b=">" ', "<!", "<![CDATA[", "<p class='", "</", "< ", "<div><p>"):
+        html_main.parse(part * 500_000)
+        html_main.parse(part * 500_000 + ">")
+    assert time.process_time() - began < 120
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8), st.integers(1, 5)), max_size=7, unique_by=(lambda t: t[0], lambda t: t[1])))
+def test_chains_are_the_heaviest(pairs):
+    rises = lambda part: all(a[0] < b[0] and a[1] < b[1] for a, b in pairwise(sorted(part)))
+    best = max((sum(t[2] for t in part) for k in range(len(pairs) + 1) for part in combinations(pairs, k) if rises(part)), default=0)
+    got = [pairs[k] for k in html_main.heaviest_order(pairs)]
+    assert rises(got) and sum(t[2] for t in got) == best
+
+
+def tree_of(spec):
+    """Nested (key, [children]) to a Tree."""
+    keys, parents = [], []
+
+    def walk(node, parent):
+        keys.append(node[0])
+        parents.append(parent)
+        me = len(keys) - 1
+        for child in node[1]:
+            walk(child, me)
+
+    walk(spec, -1)
+    return html_main.Tree(keys, parents)
+
+
+def matched(a, b):
+    """The textbook recursion: size of the largest match."""
+    if a[0] != b[0]:
+        return 0
+    m = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + matched(x, y))
+    return m[-1][-1] + 1
+
+
+@settings(max_examples=80, deadline=None)
+@given(*[st.recursive(st.just([]), lambda kids: st.dictionaries(st.sampled_from("abcd"), kids, max_size=4).map(lambda d: list(d.items())), max_leaves=12)] * 2)
+def test_matching_is_simple_tree_matching(x, y):
+    a, b = ("", x), ("", y)
+    to, s, t = html_main.match(tree_of(a), tree_of(b)), tree_of(a), tree_of(b)
+    assert len(to) == matched(a, b) and all(s.keys[n] == t.keys[m] and (n == 0 or to[s.parents[n]] == t.parents[m]) for n, m in to.items())
+
+
+LAYOUTS = {
+    "named": "<header><h1>Site {0}</h1></header><div class='entry'><h1>Head {0}</h1><p>{1}</p><p>{2} link</p><div class=comments><p>I think {0}</p></div></div><aside><p>Also {0}</p></aside>",
+    "plain": "<div><div><a href=/>Home {0}</a> <a href=/a>About {0}</a></div><div><h1>Head {0}</h1><p>{1}</p><p>{2} <a href=x>link</a></p><p>Constant words here</p></div><div>Seen by {0}</div></div>",
+    "table": "<table><tr><td><ul><li><a href=/>Item {0}</a></li><li><a href=/b>Other {0}</a></li></ul></td><td><div><h1>Head {0}</h1><div>{1}</div><div>{2} link</div></div></td></tr></table><div>Constant words here</div>",
+}
+
+
+@pytest.mark.parametrize("hints", [True, False])
+def test_layouts(spark, hints):
+    rows, want = [], {}
+    for k, (name, page) in enumerate(LAYOUTS.items()):
+        for i in range(7):
+            a, b = prose(30), prose(50)
+            rows.append((100 * k + i, f"http://{name}.example/{i}", page.format(f"q{i}", a, b)))
+            want[100 * k + i] = "\n\n".join([f"Head q{i}", a, b + " link"])
+    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), hints=hints).collect()}
+    # without names, reader comments and site names are text like other
+    assert {k: got[k] for k in want if hints or k >= 100} == {k: w for k, w in want.items() if hints or k >= 100}
+    assert all(want[k] in got[k] for k in want)
+
+
+def test_main_text_defined_cases(spark):
+    schema = "page bigint, row string, url string, html string, blocks int, mains string"
+    rows = [(1, "r", None, "<div>" * 3000 + "deep", 1, "m"), (1, "r", None, "<div>" * 3000 + "deep", 1, "m"), (2, None, "no url", "<p>" + "long words " * 40_000, None, None), (3, "x", "http://h/", "<p></p>", 2, "")]
+    got = html_main.extract(spark.createDataFrame(rows, schema))
+    assert got.columns == ["page", "row", "url", "blocks", "mains", "text", "n_chars"]
+    assert sorted((r["page"], r["n_chars"]) for r in got.collect()) == [(1, 4), (1, 4), (2, 440_000 - 1), (3, 0)]
+    assert html_main.extract(spark.createDataFrame([], schema)).count() == 0
