@@ -2,8 +2,8 @@
 
 Only the histogram of lengths, at most one count for each length up to the sequence's, reaches the driver. Patterns
 of up to four documents that fill a sequence are enumerated over length bins, non-negative least squares
-fits how often each is used, the fits are rounded down and laid out with real lengths, and what remains
-(small documents mostly) goes into the gaps by best fit, still by counts. The plan says, for ranks r of
+fits how often each is used, the fits are rounded down and laid out with real lengths, badly filled sequences are
+dissolved, and what remains goes into the gaps by best fit, still by counts. The plan says, for ranks r of
 length L, which sequences and places they get; pieces look themselves up by their rank.
 """
 
@@ -25,6 +25,8 @@ from headway.llm.tokens import SLICE, encoder
 LIMIT = 4096
 END_ID = 1
 BINS, MOST_DOCS = 64, 4
+#: Free tokens that a sequence laid out by a pattern may keep, tried in turn.
+SLACKS = (0, 2, 8, 32, 128, LIMIT)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
@@ -70,14 +72,19 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, bins: int = BINS, most_d
     The pieces of a length have ranks 0, 1, ...; a row places `ranks` of them from its first rank on, `copies` in
     each sequence, one after the other. All pieces are placed and no sequence exceeds the limit. Bins round
     lengths up, so a pattern of d documents may still fit at up to d - 1 bins beyond the limit: the fit is made
-    with 0, 1, ... such bins allowed, and the one that needs the fewest sequences is taken."""
+    with 0, 1, ... such bins allowed. Of the sequences laid out by patterns, those with more than some free tokens are
+    dissolved and packed again with the residuals, for several such bounds; the plan with the fewest sequences is taken."""
     bins = min(bins, limit)
-    plans = [_fit(histogram, limit, bins, most_docs, over) for over in range(most_docs)]
+    plans = []
+    for over in range(most_docs):
+        groups, left = _fit(histogram, limit, bins, most_docs, over)
+        plans += [_finish(groups, left, limit, slack) for slack in SLACKS]
     return min(plans, key=lambda x: x[0])[1]
 
 
-def _fit(histogram: dict[int, int], limit: int, bins: int, most_docs: int, over: int) -> tuple[int, np.ndarray]:
-    """The number of sequences and plan()'s rows, with patterns of up to `over` bins beyond the limit."""
+def _fit(histogram: dict[int, int], limit: int, bins: int, most_docs: int, over: int) -> tuple[list[tuple], dict[int, int]]:
+    """Sequences by patterns of up to `over` bins beyond the limit, as (free tokens, ((length, copies), ...), sequences), and
+    the histogram of what is left."""
     bin_of = lambda n: -(-n * bins // limit)
     left: dict[int, list[list[int]]] = defaultdict(list)  # of each bin: [length, count], longest last
     for n in sorted(k for k, c in histogram.items() if c > 0):
@@ -89,7 +96,7 @@ def _fit(histogram: dict[int, int], limit: int, bins: int, most_docs: int, over:
             a[k - 1, j] += 1
     want = np.array([sum(c for _, c in left[k]) for k in range(1, bins + 1)], float)
     fits = np.floor(nnls(a, want) + 1e-6).astype(np.int64)
-    groups: list[tuple[int, tuple[tuple[int, int], ...], int]] = []  # free tokens, ((length, copies), ...), sequences
+    groups: list[tuple[int, tuple[tuple[int, int], ...], int]] = []
 
     def take(kind: tuple[int, ...]) -> list[tuple[int, list[int], int]] | None:
         """(bin, [length, count], copies) for each bin of the pattern: the longest pieces that leave room for the rest; None if too few are left."""
@@ -118,9 +125,20 @@ def _fit(histogram: dict[int, int], limit: int, bins: int, most_docs: int, over:
                     left[k].remove(run)
             groups.append((limit - sum(run[0] * m for _, run, m in taken), tuple((run[0], m) for _, run, m in taken), times))
             todo -= times
+    return groups, {n: c for runs in left.values() for n, c in runs}
+
+
+def _finish(groups: list[tuple], left: dict[int, int], limit: int, most_slack: int) -> tuple[int, np.ndarray]:
+    """The number of sequences and plan()'s rows: dissolves the groups with more than most_slack free tokens and packs
+    their pieces and what is left by best fit, longest first."""
     free: dict[int, list] = defaultdict(list)
+    left = dict(left)
     for slack, what, times in groups:
-        free[slack].append((what, times))
+        if slack <= most_slack:
+            free[slack].append((what, times))
+        else:
+            for n, m in what:
+                left[n] = left.get(n, 0) + m * times
     slacks = sorted(free)
 
     def put(slack: int, what: tuple, times: int) -> None:
@@ -128,7 +146,7 @@ def _fit(histogram: dict[int, int], limit: int, bins: int, most_docs: int, over:
             slacks.insert(i, slack)
         free[slack].append((what, times))
 
-    for n, c in sorted(((n, c) for runs in left.values() for n, c in runs), reverse=True):
+    for n, c in sorted(left.items(), reverse=True):
         while c:
             i = bisect.bisect_left(slacks, n)
             if i == len(slacks):
@@ -166,7 +184,7 @@ def _fit(histogram: dict[int, int], limit: int, bins: int, most_docs: int, over:
 def cut(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id, cut into pieces
     of `limit` if longer. Null texts are empty: one piece with the end id only."""
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = documents.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,5 +242,10 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for each piece of each document."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) for each piece of each document.
+
+    A null text is empty: one piece with the end id. Long texts are cut into pieces of `limit`, no other is cut. Repeated
+    rows and equal ids are documents of their own; ties between equal lengths are broken by all columns, so the same
+    rows give the same places but for rows equal in all of them. Other columns of documents are left out, whatever their
+    names. An empty table gives an empty result."""
     return pack(cut(documents, path, id_col, text_col, limit, end_id, with_ids), limit)

@@ -127,6 +127,26 @@ def test_plan_uses_room_that_bins_hide(h, most):
     assert max((r[4] + r[2] // r[3] for r in rows.tolist()), default=0) <= most
 
 
+def best_fit_decreasing(h, limit):
+    free: list[int] = []
+    for n in sorted((n for n, c in h.items() for _ in range(c)), reverse=True):
+        fits = [k for k, f in enumerate(free) if f >= n]
+        if fits:
+            free[min(fits, key=lambda k: free[k])] -= n
+        else:
+            free.append(limit - n)
+    return len(free)
+
+
+def test_plan_is_as_good_as_best_fit():
+    rng = np.random.default_rng(4)
+    for spread in (0.4, 0.8, 1.2):
+        h = dict(zip(*(x.tolist() for x in np.unique(np.clip(rng.lognormal(6, spread, 4000), 1, LIMIT).astype(int), return_counts=True)), strict=True))
+        rows = plan(h)
+        used = max(r[4] + r[2] // r[3] for r in rows.tolist())
+        assert sum(r[2] for r in rows.tolist()) == sum(h.values()) and used <= best_fit_decreasing(h, LIMIT)
+
+
 def test_packing(spark):
     df = spark.createDataFrame([*ROWS, *[(100 + i, "w " * (i % 40 * 30), None) for i in range(120)]], "doc_id bigint, text string, piece string")
     got = pack_documents(df, tokenizer_path(NAMES[1])).collect()
