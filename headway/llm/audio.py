@@ -3,12 +3,14 @@
 A recording becomes overlapping frames, their spectra are summed by pitch class, smoothed over time and
 normed; rectangle filters over an integral image of this picture, each quantized to two bits, give one
 32-bit integer for each step. Recordings are aligned by the histogram of offsets at which they have equal
-integers, and judged by the share of differing bits where the best offset lays them over each other.
+integers, and judged by the share of differing bits where an offset lays them over each other. Equal integers are found
+by an inverted index, a join of the queries' codes with all codes.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import materialize, shuffle_partitions
+from headway.llm.common import materialize, tidy
 
 RATE, FRAME, HOP = 5512, 2048, 682
 LOW_HZ, HIGH_HZ = 28.0, 2600.0
@@ -28,16 +30,27 @@ FILTERS = tuple((k % 6, (5 * k) % 9, 3 + (k * 2) % 9, 4 + 4 * (k % 4)) for k in
 CUTS = (-0.12, 0.0, 0.12)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 BIT_ERROR, LEAST_HITS = 0.15, 3
-
-
-def pcm(wav: bytes, rate: int = RATE) -> np.ndarray:
-    """Mono samples at `rate`, -1 to 1, of a 16-bit PCM WAV file (linear interpolation if its rate differs)."""
-    with wave.open(io.BytesIO(wav)) as w:
-        if w.getsampwidth() != 2:
-            raise ValueError("16-bit samples only")
-        x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768
-        own = w.getframerate()
-    return x if own == rate else np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
+#: Codes (of 0.12 seconds each) that two recordings must overlap in.
+LEAST_OVERLAP = 16
+#: Parts that the recordings with one code are dealt to, as a code may be in a third of all.
+SALTS = 8
+
+
+def pcm(data: bytes, rate: int = RATE) -> np.ndarray | None:
+    """Mono samples at `rate`, -1 to 1, of a PCM WAV file of 8 to 32 bits (linear interpolation if its rate differs); None
+    if it can't be read."""
+    try:
+        with wave.open(io.BytesIO(data)) as w:
+            own, width, channels, raw = w.getframerate(), w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
+    except (EOFError, wave.Error, ValueError, struct.error, RuntimeError):
+        return None
+    if not 1 <= width <= 4 or own <= 0:
+        return None
+    raw = np.frombuffer(raw[: len(raw) // (width * channels) * width * channels], np.uint8).reshape(-1, channels, width)
+    wide = np.zeros((*raw.shape[:2], 4), np.uint8)
+    wide[:, :, 4 - width :] = raw ^ np.uint8(128) if width == 1 else raw  # 8-bit samples have no sign
+    x = wide.view("<i4")[:, :, 0].mean(axis=1) / 2**31
+    return x if own == rate or not len(x) else np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
 
 
 def wav(samples: np.ndarray, rate: int = RATE) -> bytes:
@@ -111,91 +124,52 @@ def codes(samples: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(recordings: DataFrame, id_col: str, audio_col: str) -> DataFrame:
-    """(id, codes array<bigint>) of 16-bit PCM WAV files; null audio and recordings too short have no codes."""
+    """(id, codes array<bigint>) of PCM WAV files. Null audio, files that can't be read and recordings too short have no
+    codes; long ones are read whole, each alone. Other columns are left out, whatever their names."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [codes(pcm(x)).astype(np.int64) if x else np.zeros(0, np.int64) for x in (v.as_py() for v in batch.column("audio"))]
+        for batch in (b.slice(k, 32) for b in batches for k in range(0, b.num_rows, 32)):
+            sounds = (pcm(x) if x else None for x in (v.as_py() for v in batch.column("audio")))
+            found = [np.zeros(0, np.int64) if x is None else codes(x).astype(np.int64) for x in sounds]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "codes"])
 
-    return recordings.select(F.col(id_col).cast("bigint").alias("id"), F.col(audio_col).alias("audio")).mapInArrow(each, "id bigint, codes array<bigint>")
-
-
-def align(queries: list[np.ndarray], others: list[np.ndarray], most_hits: int = 1 << 22, bit_error: float = BIT_ERROR, least_hits: int = LEAST_HITS) -> list[tuple[int, int, int, int, float]]:
-    """(query, other, offset, equal codes, bit error) for each pair that aligns: at its most frequent offset (the
-    smallest of equally frequent ones) at least `least_hits` codes are equal, or all that overlap if fewer, and at most `bit_error` of all
-    overlapping bits differ. Hits are expanded some millions at a time, whatever codes are common."""
-    flat = np.concatenate([*queries, np.zeros(0, np.uint32)])
-    owner = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
-    place = np.concatenate([np.arange(len(q)) for q in queries] or [np.zeros(0, np.int64)])
-    order = np.argsort(flat, kind="stable")
-    keys, owner, place = flat[order], owner[order], place[order]
-    out = []
-    starts, held = 0, 0
-    sizes = []
-    for x in others:
-        sizes.append(int((np.searchsorted(keys, x, "right") - np.searchsorted(keys, x, "left")).sum()))
-    while starts < len(others):
-        end, held = starts, 0
-        while end < len(others) and (end == starts or held + sizes[end] <= most_hits):
-            held += sizes[end]
-            end += 1
-        part = others[starts:end]
-        code = np.concatenate([*part, np.zeros(0, np.uint32)])
-        who = np.repeat(np.arange(starts, end), [len(x) for x in part])
-        at = np.concatenate([np.arange(len(x)) for x in part])
-        lo, hi = np.searchsorted(keys, code, "left"), np.searchsorted(keys, code, "right")
-        n = hi - lo
-        hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        q, o, off = owner[hit], np.repeat(who, n), np.repeat(at, n) - place[hit]
-        if len(q):
-            rows, count = np.unique(np.stack([q, o, off]), axis=1, return_counts=True)
-            best = np.lexsort((rows[2], -count, rows[1], rows[0]))
-            rows, count = rows[:, best], count[best]
-            first = np.concatenate([[True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)])
-            for a, b, d, c in zip(*rows[:, first].tolist(), count[first].tolist(), strict=True):
-                x, y = queries[a][max(0, -d) :], others[b][max(0, d) :]
-                m = min(len(x), len(y))
-                error = float(np.bitwise_count(x[:m] ^ y[:m]).sum()) / (32 * m)
-                if c >= min(least_hits, m) and error <= bit_error:
-                    out.append((a, b, d, c, error))
-        starts = end
-    return out
+    rows = recordings.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{audio_col}`").alias("audio"))
+    return rows.mapInArrow(lambda batches: tidy(each(batches)), "id bigint, codes array<bigint>")
+
 
+def offsets(classes: DataFrame, least_hits: int, least_overlap: int) -> DataFrame:
+    """classes: (class_id, codes, asked). (class_id, other, offset, overlap): for each asked class and other one, the offsets
+    that lay them over each other in `least_overlap` codes or more with `least_hits` equal ones or more."""
+    posted = classes.select("class_id", "asked", F.size("codes").alias("n"), F.posexplode("codes").alias("at", "code"))
+    salt = F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int")
+    others = posted.select("code", salt.alias("salt"), F.col("class_id").alias("other"), F.col("at").alias("there"), F.col("n").alias("m"))
+    queries = posted.where("asked").select("code", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "class_id", "at", "n")
+    met = queries.join(others, ["code", "salt"]).where("class_id <> other").withColumn("offset", F.col("there") - F.col("at"))
+    hits = met.groupBy("class_id", "other", "offset", "n", "m").agg(F.count(F.lit(1)).alias("hits"))
+    overlap = F.least(F.col("n") - F.greatest(F.lit(0), -F.col("offset")), F.col("m") - F.greatest(F.lit(0), F.col("offset")))
+    return hits.withColumn("overlap", overlap).where(f"overlap >= {least_overlap} and hits >= {least_hits}").select("class_id", "other", "offset", "overlap")
 
-def search(prints: DataFrame, is_query: str, block: int = 512) -> DataFrame:
+
+def search(prints: DataFrame, is_query: str, bit_error: float = BIT_ERROR, least_hits: int = LEAST_HITS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
     """prints: (id, codes). For each recording that is_query (an SQL condition on id) holds for: (id, class_id, n_links,
     best_match, offset, bit_error).
 
     Recordings with equal codes are one class, named by its smallest id; n_links counts the other classes that
-    align with the query's and best_match is the one with the smallest bit error (then id), null without any. Blocks of query classes
-    meet blocks of all classes; nothing is capped. Recordings without codes align with none. Null ids are
-    no queries; a class of null ids only isn't compared. Repeated rows count once for each row asked."""
+    align with the query's: at some offset they overlap in `least_overlap` codes, `least_hits` of them equal, and at
+    most `bit_error` of the overlapping bits differ. best_match is the one with the smallest bit error, then id, then
+    offset; null without any. Nothing is capped; long recordings are only more codes. Recordings without codes align with
+    none. Null ids are no queries; a class of null ids only isn't compared. Repeated rows count once for each row asked;
+    an empty table gives an empty result."""
     prints = materialize(prints, "prints")
-    classes = materialize(prints.where("size(codes) > 0 and id is not null").groupBy("codes").agg(F.min("id").alias("class_id"), F.max(F.expr(is_query)).alias("asked")), "classes")
-    n = max(1, -(-classes.count() // block))
-    dealt = classes.withColumn("b", F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int"))
-    both = F.struct("class_id", "codes")
-    every = materialize(dealt.groupBy("b").agg(F.collect_list(both).alias("others")), "blocks")
-    asked = dealt.where("asked").withColumn("q", F.pmod(F.xxhash64("class_id"), F.lit(max(1, n // 16))).cast("int")).groupBy("q").agg(F.collect_list(both).alias("queries"))
-    asked = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = asked.join(every, "b").repartition(4 * shuffle_partitions(prints.sparkSession), "q", "b")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (qi, qc), (oi, oc) = (_unnest(batch.column(c)[k]) for c in ("queries", "others"))
-                found = [(qi[a], oi[b], d, e) for a, b, d, _, e in align(qc, oc) if qi[a] != oi[b]]
-                columns = list(zip(*found, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["class_id", "other", "offset", "bit_error"])
-
-    found = pairs.mapInArrow(meet, "class_id bigint, other bigint, offset int, bit_error double")
-    best = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"), F.min_by(F.struct("other", "offset", "bit_error"), F.struct("bit_error", "other")).alias("m"))
+    classes = materialize(prints.where("size(codes) > 0 and id is not null").groupBy("codes").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.expr(is_query), F.lit(False))).alias("asked")), "classes")
+    found = materialize(offsets(classes, least_hits, least_overlap), "offsets")
+    codes_of = classes.select("class_id", "codes")
+    both = found.join(codes_of, "class_id").join(codes_of.toDF("other", "others"), "other")
+    mine = F.slice("codes", F.greatest(F.lit(0), -F.col("offset")) + 1, F.col("overlap"))
+    theirs = F.slice("others", F.greatest(F.lit(0), F.col("offset")) + 1, F.col("overlap"))
+    bits = F.aggregate(F.zip_with(mine, theirs, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    links = both.select("class_id", "other", "offset", (bits / (32 * F.col("overlap"))).alias("bit_error")).where(F.col("bit_error") <= bit_error)
+    links = links.groupBy("class_id", "other").agg(F.min(F.struct("bit_error", "offset")).alias("m"))
+    best = links.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"), F.min(F.struct("m.bit_error", "other", "m.offset")).alias("m"))
     queries = prints.where(f"coalesce({is_query}, false)").join(classes.select("codes", "class_id"), "codes", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     return queries.join(best, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("m.other").alias("best_match"), F.col("m.offset").alias("offset"), F.col("m.bit_error").alias("bit_error"))
-
-
-def _unnest(value: pa.Scalar) -> tuple[list[int], list[np.ndarray]]:
-    rows = value.values
-    ids, lists = rows.field("class_id").to_pylist(), rows.field("codes")
-    return ids, [np.array(x.as_py(), np.uint32) for x in lists]

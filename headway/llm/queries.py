@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.llm import audio, html_main, mixing, packing, quality, simhash, suffix_dedup, token_count, token_files, url_filter
+from headway.llm.common import tidy
 from headway.llm.tokens import tokenizer_path
 
 TOKEN_LIMIT = 2048
@@ -26,28 +27,38 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sonify(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, audio): each vector as a WAV file of 16 notes. A number of the vector is the loudness of one partial
-    of a note; null or empty vectors have null audio."""
+    of a note; null or empty vectors have null audio. So that recordings overlap, one with id % 4 = 3 plays its own first 4
+    notes and then, with some noise, all but the first 2 notes of the vector whose id is smaller by 3, if there is one."""
     t = np.arange(int(NOTE_S * audio.RATE)) / audio.RATE
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tones: dict[int, np.ndarray] = {}
+
+        def play(x: np.ndarray) -> np.ndarray:
+            per = -(-len(x) // NOTES)
+            if per not in tones:
+                k = np.arange(NOTES * per).reshape(NOTES, per)
+                tones[per] = np.sin(2 * np.pi * (110 * 2 ** ((k * 7 % 12) / 12 + k % 3))[:, :, None] * t)
+            loud = np.pad(x, (0, NOTES * per - len(x))).reshape(NOTES, per)
+            return np.einsum("np,npt->nt", loud / max(1e-9, np.abs(loud).sum(axis=1).max()), tones[per])
+
         for batch in (b.slice(k, 32) for b in batches for k in range(0, b.num_rows, 32)):
             out = []
-            for v in batch.column("vector"):
-                x = np.array([0.0 if y is None else y for y in v.as_py() or []], float)
-                if not len(x):
+            for i, *both in zip(*(batch.column(c).to_pylist() for c in ("id", "vector", "before")), strict=True):
+                own, before = (np.array([0.0 if y is None else y for y in v or []], float) for v in both)
+                if not len(own):
                     out.append(None)
                     continue
-                per = -(-len(x) // NOTES)
-                if per not in tones:
-                    k = np.arange(NOTES * per).reshape(NOTES, per)
-                    tones[per] = np.sin(2 * np.pi * (110 * 2 ** ((k * 7 % 12) / 12 + k % 3))[:, :, None] * t)
-                loud = np.pad(x, (0, NOTES * per - len(x))).reshape(NOTES, per)
-                loud = loud / max(1e-9, np.abs(loud).sum(axis=1).max())
-                out.append(audio.wav(np.einsum("np,npt->nt", loud, tones[per]).reshape(-1)))
+                sound = play(own)
+                if len(before):
+                    sound = np.concatenate([sound[:4], play(before)[2:]])
+                    sound += 0.002 * np.random.default_rng(i % 2**32).standard_normal(sound.shape)
+                out.append(audio.wav(sound.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "audio"])
 
-    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).mapInArrow(each, "id bigint, audio binary")
+    own = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    before = own.where("id % 4 = 0").groupBy((F.col("id") + 3).alias("id")).agg(F.max("vector").alias("before"))
+    return own.join(before, "id", "left").mapInArrow(lambda batches: tidy(each(batches)), "id bigint, audio binary")
 
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Each operator against a brute-force version on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import io
 import random
 import time
+import wave
 from collections import Counter
 from itertools import combinations, pairwise
 
@@ -13,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from headway.llm import audio, html_main, mixing, quality, simhash, suffix_dedup, url_filter
+from headway.llm import audio, html_main, mixing, quality, queries, simhash, suffix_dedup, url_filter
 from headway.llm.components import components
 
 RNG = random.Random(5)
@@ -298,3 +300,56 @@ def test_main_text_defined_cases(spark):
     assert got.columns == ["page", "row", "url", "blocks", "mains", "text", "n_chars"]
     assert sorted((r["page"], r["n_chars"]) for r in got.collect()) == [(1, 4), (1, 4), (2, 440_000 - 1), (3, 0)]
     assert html_main.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def all_offsets(prints):
+    """Brute force: (query, other) to the smallest (bit error, offset) over all offsets, of recordings with different codes."""
+    out = {}
+    for i, x in prints.items():
+        for j, y in prints.items():
+            if i % 20 == 0 and i != j and x.tolist() != y.tolist():
+                for d in range(-len(x) + 1, len(y)):
+                    a, b = x[max(0, -d) :], y[max(0, d) :]
+                    m = min(len(a), len(b))
+                    if m >= audio.LEAST_OVERLAP:
+                        error = float(np.bitwise_count(a[:m] ^ b[:m]).sum()) / (32 * m)
+                        if error <= audio.BIT_ERROR:
+                            out[i, j] = min((error, d), out.get((i, j), (2.0, 0)))
+    return out
+
+
+def test_audio_finds_what_all_offsets_find(spark):
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, rng.standard_normal(64).tolist()) for i in range(160)], "vec_id bigint, embedding array<double>")
+    recordings = queries.sonify(vectors, "vec_id", "embedding")
+    want = all_offsets({r["id"]: audio.codes(audio.pcm(r["audio"])) for r in recordings.collect()})
+    got = {r["id"]: r for r in audio.search(audio.fingerprint(recordings, "id", "audio"), "id % 20 = 0").collect()}
+    assert len(got) == 8 and len(want) >= 8 and {i for i, _ in want} == set(got)
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * len(want)
+    for i, r in got.items():
+        error, offset, other = min((e, d, j) for (q, j), (e, d) in want.items() if q == i)
+        assert (r["best_match"], r["offset"]) == (other, offset) == (i + 3, r["offset"]) and abs(r["bit_error"] - error) < 1e-9
+
+
+def test_audio_defined_cases(spark):
+    rng = np.random.default_rng(9)
+    sound = rng.standard_normal(60_000) * 0.2
+
+    def file(width, channels=1, rate=audio.RATE):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(channels)
+            w.setsampwidth(width)
+            w.setframerate(rate)
+            x = np.repeat((np.clip(sound, -1, 1) * (2 ** (8 * width - 1) - 1)).astype(np.int64), channels) + (128 if width == 1 else 0)
+            w.writeframes(b"".join(int(v).to_bytes(width, "little", signed=width > 1) for v in x))
+        return out.getvalue()
+
+    for width in (1, 2, 3, 4):
+        assert np.abs(audio.pcm(file(width, 2)) - np.clip(sound, -1, 1)).max() < 0.02
+    assert abs(len(audio.pcm(file(2, 1, 2 * audio.RATE))) - 30_000) <= 1 and audio.pcm(b"no wave") is None and audio.pcm(b"") is None and audio.pcm(file(2)[:30]) is None
+    rows = [(0, file(2)), (0, file(2)), (20, b"RIFF broken"), (40, None), (None, file(2)), (1, audio.wav(np.tile(sound, 20))), (2, file(4))]
+    prints = audio.fingerprint(spark.createDataFrame([(*r, 1) for r in rows], "id bigint, audio binary, codes int"), "id", "audio")
+    got = sorted(audio.search(prints, "id % 20 = 0").collect(), key=lambda r: r["id"])
+    assert [(r["id"], r["class_id"]) for r in got] == [(0, 0), (0, 0), (20, 20), (40, 40)] and got[0]["best_match"] == got[1]["best_match"] and got[0]["n_links"] == 2 - (prints.where("id in (0, 2)").select("codes").distinct().count() == 1)
+    assert got[2]["n_links"] == got[3]["n_links"] == 0 and audio.search(prints.where("false"), "id % 20 = 0").count() == 0
