@@ -112,9 +112,10 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     size: words of the text, null counts as 0. Null sources are one source, the last. Rows that share id
     and source are one unit (null ids too): all of them get the same copies. Documents without words, and
-    those of a source whose target is 0, take nothing. An empty table gives an empty result.
+    those of a source whose target is 0, take nothing; of long texts all words count. Ties of size / weight are broken by
+    the source's name. Other columns are left out, whatever their names. An empty table gives an empty result.
     """
-    rows = materialize(documents.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    rows = materialize(documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")), "sizes")
     targets = source_targets(rows)
     ranked = targets.withColumn("stratum", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("bigint"))
     ranked = materialize(ranked.withColumn("wish", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))), "targets")
@@ -129,8 +130,11 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents, each row as often as the mix takes it; columns as given."""
-    plan = mix(documents, id_col, text_col, source_col).groupBy("id", "source").agg(F.max("copies").cast("int").alias("__n")).withColumnsRenamed({"id": "__id", "source": "__source"})
-    wide = documents.withColumn("__words", word_count(F.col(text_col)) > 0)
-    joined = wide.join(plan, wide[id_col].eqNullSafe(F.col("__id")) & wide[source_col].cast("string").eqNullSafe(F.col("__source")))
-    return joined.where("__n > 0 and __words").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[documents[c] for c in documents.columns])
+    """The documents, each row as often as the mix takes it; columns as given, whatever their names.
+
+    Rows that share id and source (repeated rows, null ids) are taken equally often. Null and blank texts are never
+    taken; long ones count all their words. Null sources are one source. An empty table stays empty."""
+    plan = mix(documents, id_col, text_col, source_col).groupBy("id", "source").agg(F.max("copies").cast("int").alias("n")).where("n > 0")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.col(f"`{source_col}`").cast("string").alias("own_source")).where(word_count(F.col(f"row.`{text_col}`")) > 0)
+    taken = rows.join(plan, F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_source").eqNullSafe(F.col("source"))).select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])

@@ -39,22 +39,22 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << list(RULES).index(r) for r in rules)
 
 
-def _measured(documents: DataFrame, text_col: str) -> DataFrame:
-    """The rows with __t (text), __w (words), __h (hash of the word triple from each word on) and __d (hashes
+def _measured(texts: DataFrame) -> DataFrame:
+    """texts: (row, text). Adds t (text), w (words), h (hash of the word triple from each word on) and d (hashes
     that come more than once)."""
-    rows = documents.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
-    rows = rows.withColumn("__w", word_list(F.col("__t")))
-    w = F.col("__w")
+    rows = texts.withColumn("t", F.coalesce(F.col("text"), F.lit("")))
+    rows = rows.withColumn("w", word_list(F.col("t")))
+    w = F.col("w")
     triples = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    rows = rows.withColumn("__h", F.slice(triples, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))))
-    again = F.transform(F.array(F.sort_array("__h")), lambda s: F.filter(s, lambda x, k: x == F.get(s, k - 1)))
-    return rows.withColumn("__d", F.array_distinct(F.element_at(again, 1)))
+    rows = rows.withColumn("h", F.slice(triples, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))))
+    again = F.transform(F.array(F.sort_array("h")), lambda s: F.filter(s, lambda x, k: x == F.get(s, k - 1)))
+    return rows.withColumn("d", F.array_distinct(F.element_at(again, 1)))
 
 
 def _covered() -> Column:
     """Number of words in a triple that comes more than once. A few such triples are looked up; many are
     found as neighbours of the sorted (hash, place) array, so a long text costs n log n."""
-    h, d = F.col("__h"), F.col("__d")
+    h, d = F.col("h"), F.col("d")
     few = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i)), lambda i: i.isNotNull())
     pairs = F.array(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     flagged = F.element_at(F.transform(pairs, lambda s: F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"]))), 1)
@@ -64,14 +64,15 @@ def _covered() -> Column:
 
 
 def ledger(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of documents, the measurements (bigint) and fail_bits (bigint).
+    """All columns of documents, whatever their names, the measurements (bigint) and fail_bits (bigint).
 
-    Null texts count as empty: all measurements 0, which fails few_words. Rows are judged one by one, so
-    repeated rows get equal verdicts, an empty table gives an empty ledger and the order is of no
+    Null texts count as empty: all measurements 0, which fails few_words. Long texts are measured whole. Rows are judged
+    one by one, so repeated rows get equal verdicts, an empty table gives an empty ledger and the order is of no
     matter. A column of documents that has the name of a ledger column is replaced by it.
     """
-    rows = _measured(documents, text_col)
-    t, w = F.col("__t"), F.col("__w")
+    kept = [c for c in documents.columns if c not in (*MEASURES, "fail_bits")]
+    rows = _measured(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")))
+    t, w = F.col("t"), F.col("w")
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     measures = {
         "n_words": F.size(w),
@@ -83,9 +84,9 @@ def ledger(documents: DataFrame, text_col: str = "text") -> DataFrame:
         "n_upper": F.regexp_count(t, F.lit("[A-Z]")),
         "n_ends": F.regexp_count(t, F.lit("[!?]")),
     }
-    rows = rows.withColumns({k: v.cast("bigint") for k, v in measures.items()}).drop("__t", "__w", "__h", "__d")
+    rows = rows.select("row", *[v.cast("bigint").alias(k) for k, v in measures.items()])
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, rule in enumerate(RULES.values())]
-    return rows.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *MEASURES, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fail_bits"))
 
 
 def verdict(rules: tuple[str, ...], bits: str = "fail_bits") -> Column:
@@ -116,9 +117,10 @@ def ablation(led: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES)
 
 
 def filter_quality(documents: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:
-    """The documents that the policy keeps, with their own columns."""
-    tagged = documents.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"))
+    """The documents that the policy keeps, with their own columns, whatever their names. Null texts are empty and so
+    have too few words; long texts are judged whole; repeated rows are judged alike; an empty table stays empty."""
+    tagged = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     # the bits pass through explode(array()), as a filter on them would else be pushed below the ledger and its
     # expressions evaluated again inside each other's lambdas
-    judged = ledger(tagged, "__text").select("__row", F.explode(F.array("fail_bits")).alias("__bits"))
-    return judged.where(verdict(POLICIES[policy], "__bits")).select("__row.*")
+    judged = ledger(tagged).select("row", F.explode(F.array("fail_bits")).alias("bits")).where(verdict(POLICIES[policy], "bits"))
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])

@@ -25,12 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import shuffle_partitions, text_slices
+from headway.llm.common import give_back, shuffle_partitions, text_slices, tidy
 
 LEAST = 50
 GRAM = 20
 #: Bytes of text that are looked at together, and suffixes that are sorted together if their anchors allow.
 SLICE, SUFFIXES = 1 << 20, 1 << 18
+#: Bytes of text in a group of documents and for each bucket of anchors, about. A task takes groups one after the other,
+#: so these bound its memory, whatever the number of partitions.
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 _LOW = np.uint64((1 << 27) - 1)
 _TABLE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(29))
 
@@ -298,9 +301,10 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
         once = np.concatenate([[True], (np.diff(g) != 0) | (h[1:] != h[:-1])])[: len(h)]
         h, g = h[once], g[once]
         cuts = _cuts(g.astype(np.int64))
+        give_back()
         return pa.table({"__g": pa.array([k for k, _, _ in cuts], pa.int32()), "payload": pa.array([_to_six(h[a:z]) for _, a, z in cuts], pa.binary())})
 
-    flags = narrow.mapInArrow(send, "b int, payload binary").groupBy("b").applyInArrow(shared, "__g int, payload binary")
+    flags = narrow.mapInArrow(lambda batches: tidy(send(batches)), "b int, payload binary").groupBy("b").applyInArrow(shared, "__g int, payload binary")
 
     def segments(texts: pa.Table, flagged: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int, bytes]] = []
@@ -326,6 +330,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
                 items = [(k, d, s, c) for c, (d, owners) in content.items() for k, s in owners]
                 head = struct.pack("<I", len(items)) + np.array([x[0] for x in items], "<u8").tobytes() + np.array([x[1] for x in items], "<i8").tobytes() + np.array([x[2] for x in items], "<u4").tobytes() + np.array([len(x[3]) for x in items], "<u4").tobytes()
                 out.append((b, g, 0, _zip(head + b"".join(x[3] for x in items))))
+        give_back()
         return pa.table({"b": pa.array([x[0] for x in out], pa.int32()), "__g": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "payload": pa.array([x[3] for x in out], pa.binary())})
 
     # with all columns, so that the texts' exchange is used again for cutting
@@ -363,6 +368,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
         for g, x in own.items():
             spans.setdefault(g, []).append(_pack_spans(x))
         rows_out = [(g, x) for g, xs in spans.items() for x in xs]
+        give_back()
         return pa.table({"__g": pa.array([g for g, _ in rows_out], pa.int32()), "payload": pa.array([x for _, x in rows_out], pa.binary())})
 
     return found.groupBy("b").applyInArrow(intervals, "__g int, payload binary")
@@ -379,13 +385,15 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     With `characters`, kept has whole characters only: what a cut leaves of one goes too.
 
     A byte of a text is removed if a string of `least` bytes over it also starts in a document with a smaller id; all is
-    judged on the input. Null texts are empty. A null id is larger than any other, and rows with equal ids (repeated rows, null ids) don't remove
-    from each other. An empty table gives an empty result."""
-    spark = documents.sparkSession
-    groups = shuffle_partitions(spark)
+    judged on the input. Null texts are empty, long ones are read whole. A null id is larger than any other, and rows with equal ids (repeated rows, null ids) don't remove
+    from each other. Columns of any name stay. An empty table gives an empty result."""
+    text = F.col(f"`{text_col}`")
+    size = documents.agg(F.sum(F.octet_length(text.cast("string")).cast("bigint"))).first()[0] or 0  # one number
+    least_groups = shuffle_partitions(documents.sparkSession)
+    groups, buckets = (max(least_groups, -(-size // each)) for each in (GROUP_BYTES, BUCKET_BYTES))
     columns = [F.col(f"`{c}`") for c in documents.columns if c != text_col]
-    rows = _with_keys(documents.select(F.struct(*columns).alias("row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), F.col("__id"), F.col("__t"), groups).drop("__id", "__t")
-    spans = repeat_spans(rows, groups, groups, least, gram)
+    rows = _with_keys(documents.select(F.struct(*columns).alias("row"), F.col(f"`{id_col}`").alias("__id"), text.alias("__t")), F.col("__id"), F.col("__t"), groups).drop("__id", "__t")
+    spans = repeat_spans(rows, groups, buckets, least, gram)
     schema = rows.select("row").withColumns({"n_bytes": F.lit(0).cast("bigint"), "n_removed": F.lit(0).cast("bigint"), "n_spans": F.lit(0).cast("bigint"), "kept": F.lit(b"")}).schema
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:

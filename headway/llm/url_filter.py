@@ -1,18 +1,18 @@
 """URL filter: host and path rules, then gradient-boosted trees on lexical features.
 
 The trees are trained from labelled URLs, on `most_rows` of them at most, chosen by a hash of the
-URL. Splits are found on quantile histograms. The model is a few arrays, so scoring is a map over the
+URL. Suffix statistics are fitted out of fold for training. Splits are found on quantile histograms. The model is a few arrays, so scoring is a map over the
 table; rules are expressions.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MOST_ROWS = 20_000
 RANGE_BITS = 14
+#: Parts of the training rows, whose suffix statistics come from the others.
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "host_entropy", "parameters", "query_length", "suffix_rate", "suffix_count", "domain_rate", "domain_count")
 
 
@@ -80,7 +82,21 @@ class SuffixStats:
         return (y + self.weight * self.rate) / (n + self.weight), float(np.log1p(n))
 
 
+def out_of_fold(urls: Sequence[str], hosts: Sequence[str], paths: Sequence[str], bad: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """features() of training URLs, with the suffix statistics of the other folds, so that no row's own label is in its
+    features. Equal URLs are in one fold."""
+    fold = np.array([zlib.crc32(u.encode()) % folds for u in urls], np.int64)
+    out = np.zeros((len(urls), len(FEATURES)))
+    for k in range(folds):
+        mine, others = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(mine):
+            stats = SuffixStats.fit([hosts[i] for i in others], bad[others])
+            out[mine] = features([urls[i] for i in mine], [hosts[i] for i in mine], [paths[i] for i in mine], stats)
+    return out
+
+
 def features(urls: Sequence[str | None], hosts: Sequence[str], paths: Sequence[str], stats: SuffixStats) -> np.ndarray:
+    """One row of FEATURES for each URL; a null URL is empty."""
     out = np.zeros((len(urls), len(FEATURES)))
     for i, (url, host, path) in enumerate(zip(urls, hosts, paths, strict=True)):
         url = url or ""
@@ -171,26 +187,27 @@ def train(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", most_
         rows = rows.where(F.col("__range") <= F.lit(int(enough.iloc[0])))
     data = rows.orderBy("__h", "__url", "bad").limit(most_rows).drop("__h", "__range").toPandas()
     y = data["bad"].to_numpy(dtype=float)
-    stats = SuffixStats.fit(data["host"].tolist(), y)
-    return UrlModel(stats, BoostedTrees().fit(features(data["__url"].tolist(), data["host"].tolist(), data["path"].tolist(), stats), y))
+    urls, hosts, paths = (data[c].tolist() for c in ("__url", "host", "path"))
+    return UrlModel(SuffixStats.fit(hosts, y), BoostedTrees().fit(out_of_fold(urls, hosts, paths, y), y))
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", cut: float = 0.5) -> DataFrame:
     """pages with host, path, rule, score (of being bad) and verdict: that of the longest rule that fits, else block
     where the score is above `cut`. Null URLs and those without :// have empty host and path and are judged by the
-    model. Columns of these names are replaced; rows are independent, an empty table stays empty."""
+    model; long ones are read whole. Columns of these names are replaced, others stay, whatever their names; rows are
+    independent, so repeated ones are judged alike, and an empty table stays empty."""
     own = ("host", "path", "rule", "score", "verdict")
     kept = [c for c in pages.columns if c not in own]
-    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(url_col).cast("string").alias("__url"))
-    rows = rows.withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))}).withColumn("__rule", matched_rule(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("rule", F.col("__rule.rule")).withColumn("__verdict", F.col("__rule.verdict")).drop("__rule")
-    schema = pages.select(*[F.col(f"`{c}`") for c in kept]).withColumns({"host": F.lit("").cast("string"), "path": F.lit(""), "rule": F.lit(None).cast("string"), "score": F.lit(0.0), "verdict": F.lit("")}).schema
+    fields = [F.col(f"`{c}`") for c in kept] or [F.lit(0).alias("none")]
+    rows = pages.select(F.struct(*fields).alias("row"), F.col(f"`{url_col}`").cast("string").alias("url"))
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("fits", matched_rule(F.col("host"), F.col("path"), rules))
+    schema = rows.select("row", "host", "path", "fits", F.lit(0.0).alias("score")).schema
     shared = pages.sparkSession.sparkContext.broadcast(model)  # bounded by most_rows
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = shared.value.predict(*(batch.column(c).to_pylist() for c in ("__url", "host", "path")))
-            verdict = pc.coalesce(batch.column("__verdict"), pa.array(np.where(p > cut, "block", "allow").tolist(), pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*kept, "host", "path", "rule")), pa.array(p), verdict], [*kept, *own])
+            p = shared.value.predict(*(batch.column(c).to_pylist() for c in ("url", "host", "path")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "host", "path", "fits")), pa.array(p)], ["row", "host", "path", "fits", "score"])
 
-    return rows.mapInArrow(score, schema)
+    verdict = F.coalesce("fits.verdict", F.when(F.col("score") > cut, "block").otherwise("allow"))
+    return rows.mapInArrow(score, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "host", "path", F.col("fits.rule").alias("rule"), "score", verdict.alias("verdict"))

@@ -15,8 +15,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from headway.llm import audio, html_main, mixing, quality, queries, simhash, suffix_dedup, url_filter
+from headway.llm import audio, html_main, mixing, quality, queries, simhash, suffix_dedup, token_count, url_filter
 from headway.llm.components import components
+from headway.llm.tokens import tokenizer_path
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdeé") for _ in range(RNG.randint(2, 7))) for _ in range(300)]
@@ -353,3 +354,63 @@ def test_audio_defined_cases(spark):
     got = sorted(audio.search(prints, "id % 20 = 0").collect(), key=lambda r: r["id"])
     assert [(r["id"], r["class_id"]) for r in got] == [(0, 0), (0, 0), (20, 20), (40, 40)] and got[0]["best_match"] == got[1]["best_match"] and got[0]["n_links"] == 2 - (prints.where("id in (0, 2)").select("codes").distinct().count() == 1)
     assert got[2]["n_links"] == got[3]["n_links"] == 0 and audio.search(prints.where("false"), "id % 20 = 0").count() == 0
+
+
+#: Names that the operators use inside.
+OWN = "id row key n t w h d k text_ n_ b at a of p band source_ own_id own_source fp root best kept rows bits page shape tree blocks host_ url_ rule_ __text __id __n __t __w __h __d __g __key __doc __url __rule __verdict __row size copies unit stratum wish".split()
+
+
+def test_names_inside_clash_with_none(spark, docs):
+    """Every operator that hands columns on keeps those with its own inner names."""
+    rows = [(7, prose(60), "a"), (7, prose(90), "a"), (8, None, None), (8, prose(60), None)]
+    wide = spark.createDataFrame([(*r, *range(len(OWN))) for r in rows], ["doc_id", "text", "source", *OWN])
+    ids = sorted(r[0] for r in rows)
+    counted = token_count.count_tokens(wide, tokenizer_path("word_bpe_49k.json"), out_col="tokens")
+    assert counted.columns == [*wide.columns, "tokens"] and sorted(r["doc_id"] for r in counted.collect()) == ids
+    led = quality.ledger(wide)
+    assert set(OWN) <= set(led.columns) and sorted(r["doc_id"] for r in led.collect()) == ids
+    for out in (quality.filter_quality(wide), simhash.keep_first(wide), mixing.mix_documents(wide), suffix_dedup.dedup_documents(wide)):
+        assert out.columns == wide.columns
+        found = out.collect()
+        assert {r["doc_id"] for r in found} == {7, 8} and all([r[c] for c in OWN] == list(range(len(OWN))) for r in found)
+    assert len(simhash.keep_first(wide).collect()) == 4  # equal ids with different texts all stay
+    assert simhash.near_duplicates(wide).count() == 4 and mixing.mix(wide).count() == 4
+    judged = url_filter.judge(wide.withColumn("url", F.lit("http://a.org/b")), url_filter.train(spark.createDataFrame([], "url string, bad boolean")))
+    assert set(wide.columns) <= set(judged.columns) and [tuple(r[c] for c in OWN) for r in judged.collect()] == [tuple(range(len(OWN)))] * 4
+    pages = html_main.extract(wide.withColumn("url", F.lit("http://a.org/b")).withColumn("html", F.lit("<p>x</p>")))
+    assert set(OWN) <= set(pages.columns) and pages.count() == 4
+
+
+def judged_by_hand(url):
+    """(host, path, rule, verdict or None), from the definition."""
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url[url.index("://") + 3 :]
+        end = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end])
+        path = rest[end:]
+        path = path[: min((path.index(c) for c in "?#" if c in path), default=len(path))]
+    fits = [(len(h + p), v == "block", h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *max(fits)[2:]) if fits else (host, path, None, None)
+
+
+def test_rules_by_hand(spark):
+    rng = random.Random(3)
+    hosts, paths = ["org", "Example.ORG", "a.example.org", "xorg", "com", "b.C.com", "example.org.net", "", "ÉÀ.org", "com."], ["", "/", "/es/", "/es", "/en/1", "/en/12", "/fr/", "/de/x", "/de", "?a=/es/", "#/de/", "/es/?x#y", "//es/", "/ES/"]
+    urls = ["".join(rng.choice(part) for part in (("http://", "https://", "://", "x", "http:/"), hosts, (":80", "", "@u", "://"), paths)) for _ in range(600)]
+    urls += [None, "", "://", "http://" + "a" * 50_000 + ".com/fr/" + "9" * 50_000, *urls[:5]]
+    model = url_filter.train(spark.createDataFrame([], "url string, bad boolean"))
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), model).orderBy("page_id").collect()
+    for r, url in zip(got, urls, strict=True):
+        host, path, rule, verdict = judged_by_hand(url)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict or "allow"), url
+    assert url_filter.judge(spark.createDataFrame([], "page_id int, url string"), model).count() == 0
+
+
+def test_training_features_hold_no_own_label():
+    urls = [f"http://h{i}.net/x" for i in range(300)]
+    hosts, y = [f"h{i}.net" for i in range(300)], np.arange(300) % 2 * 1.0
+    x = url_filter.out_of_fold(urls, hosts, ["/x"] * 300, y)
+    assert (x[:, url_filter.FEATURES.index("domain_count")] == 0).all()  # each host stands once, so the other folds don't know it
+    assert len(np.unique(x[:, url_filter.FEATURES.index("domain_rate")])) <= url_filter.FOLDS
