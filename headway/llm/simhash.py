@@ -34,8 +34,8 @@ TILE = 1 << 14
 #: a similarity of 0.8 a set differs in 39 of 256 bits, with a deviation of 6 (of four or five shingles: 48).
 WORDS, LEAST, OF = 5, 4, 5
 WIDE, SMALL, FIRST_BITS, ALL_BITS = 4, 32, (27, 22), (88, 68)
-#: Pairs so near are checked first; what they join need not be compared again.
-SURE_BITS = 40
+#: Of each text so many nearest ones in a tile pair are checked first; what they join need not be compared again.
+NEAREST = 4
 #: Slots of the bitmap that picks the texts whose sets are needed.
 SLOTS = 1 << 22
 
@@ -293,9 +293,9 @@ def close(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tupl
         yield i[fits], order[j[fits]], bits[fits]
 
 
-def candidates(different: DataFrame, first: bool, tile: int = TILE) -> DataFrame:
-    """different: (key, n, root, words). Pairs (a, b) that may be similar enough and have different roots. first: of the
-    SURE_BITS nearest only a spanning forest of each tile pair, and (a, null) for each key that is in any pair."""
+def candidates(different: DataFrame, nearest: int | None, involved: bool = False, tile: int = TILE) -> DataFrame:
+    """different: (key, n, root, words). Pairs (a, b) that may be similar enough and have different roots. nearest: only so many
+    for each text and tile pair, those that differ in the fewest bits. involved: also (a, null) for each key that is in any pair."""
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(OF / LEAST)) + F.lit(1e-9)).cast("int")
     rows = different.select(band.alias("band"), F.bit_count("w0").cast("int").alias("p"), "key", "n", "root", *_W)
     names = ["key", "n", "root", *_W]
@@ -308,18 +308,20 @@ def candidates(different: DataFrame, first: bool, tile: int = TILE) -> DataFrame
                 for x in (a, b):
                     x[3:] = [w.view(np.uint64) for w in x[3:]]
                 same = batch.column("t1")[k].as_py() == batch.column("t2")[k].as_py()
-                shift = 0 if same else len(a[0])
-                held, involved = Forest(shift + len(b[0])), np.zeros(shift + len(b[0]), bool)
+                seen = [np.zeros(len(x[0]), bool) for x in (a, b)]
                 for i, j, bits in close(a[1:], b[1:], same):
-                    if first:
-                        involved[i] = involved[j + shift] = True
-                        held.add(i[bits <= SURE_BITS], j[bits <= SURE_BITS] + shift)
-                    elif len(i):
+                    seen[0][i], seen[1][j] = True, True
+                    if nearest is not None and len(i):  # all partners of a row come together
+                        order = np.lexsort((b[0][j], bits, i))
+                        i, j = i[order], j[order]
+                        starts = np.flatnonzero(np.concatenate([[True], np.diff(i) != 0]))
+                        place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+                        i, j = i[place < nearest], j[place < nearest]
+                    if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(a[0][i]), pa.array(b[0][j])], ["a", "b"])
-                if first:
-                    i, j = held.pairs()
-                    keys = (a[0] if same else np.concatenate([a[0], b[0]]))[involved]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[0][i], keys])), pa.concat_arrays([pa.array(b[0][j - shift], pa.int64()), pa.nulls(len(keys), pa.int64())])], ["a", "b"])
+                if involved:
+                    keys = np.unique(np.concatenate([a[0][seen[0]], b[0][seen[1]]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64())], ["a", "b"])
 
     return pairs.mapInArrow(lambda batches: tidy(compare(batches)), "a bigint, b bigint")
 
@@ -367,17 +369,30 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.where((LEAST + OF) * F.col("common") >= LEAST * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
 
 
+def merged(rest: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rest: (key, ..., root) with the roots that the pairs (a, b) of keys join made one, the smallest."""
+    if pairs.isEmpty():
+        return rest
+    of = lambda c: rest.select(F.col("key").alias(c), F.col("root").alias(f"{c}_root"))
+    joined = components(pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    renamed = rest.join(joined.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left")
+    return materialize(renamed.withColumn("root", F.coalesce("least", "root")).select(*rest.columns), "rest")
+
+
 def roots(documents: DataFrame, text_col: str, different: DataFrame) -> DataFrame:
     """different: (key, n, words), each key once. (key, root) of the keys that have a near copy: root is the smallest key
-    that chains of near copies reach."""
-    found = materialize(candidates(different.withColumn("root", F.col("key")), True), "candidates")
-    sets = materialize(sets_of(documents, text_col, found.where("b is null").select(F.col("a").alias("key"))), "sets")
-    sure = similar(found.where("b is not null"), sets)
-    known = materialize(components(sure).withColumnRenamed("node", "key"), "known")
+    that chains of near copies reach.
+
+    The nearest candidates of each text are checked first, twice; then all candidates that are still in different
+    components. So a group of near copies costs a few links each, and no pair that could join two components is left out."""
+    found = materialize(candidates(different.withColumn("root", F.col("key")), NEAREST, involved=True), "candidates")
     involved = materialize(found.where("b is null").select(F.col("a").alias("key")).distinct(), "involved")
-    rest = different.join(involved, "key", "left_semi").join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    more = similar(materialize(candidates(materialize(rest, "rest"), False), "candidates"), sets)
-    return components(sure.union(more)).withColumnRenamed("node", "key")
+    sets = materialize(sets_of(documents, text_col, involved), "sets")
+    rest = materialize(different.join(involved, "key", "left_semi").withColumn("root", F.col("key")), "rest")
+    rest = merged(rest, similar(found.where("b is not null"), sets))
+    for nearest in (NEAREST, None):
+        rest = merged(rest, similar(materialize(candidates(rest, nearest), "candidates"), sets))
+    return rest.select("key", "root")
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
