@@ -15,5 +15,4 @@ SNAP_RADIUS_M = 50.0
 OFF_ROAD_FACTOR = 2
 SERVICE_DAYS_BACK, SERVICE_DAYS = 7, 21
 DAY_S = 86_400
-HORIZON_S = DAY_S
 LAST_SECOND = 4_294_967_295

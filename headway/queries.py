@@ -11,7 +11,7 @@ from headway import constants as C
 from headway.functions import clock, geo, polyline
 from headway.operators import itinerary, raptor, spatial, walking
 from headway.plans import journeys
-from headway.plans.lineage import cut
+from headway.plans.lineage import cut, shared_path
 from headway.sources import gtfs, registry, timetable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,7 +122,7 @@ def stop_patterns(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT line_id, stop_id, seq FROM ls")
 def pattern_stops(spark, sf_dir):
-    return timetable.derived(spark, sf_dir).line_stops
+    return timetable.derived(spark, sf_dir).line_stops.select("line_id", "stop_id", "seq")
 
 
 @query(f"WITH {LINES} SELECT stop_id, line_id, min(seq) AS seq FROM ls GROUP BY ALL")
@@ -173,45 +173,55 @@ def route_names(spark, sf_dir):
     return p.select("route_id", gtfs.route_name().alias("name"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def _day(spark: SparkSession, sf_dir: str) -> tuple[timetable.Timetable, DataFrame]:
-    tt = timetable.derived(spark, sf_dir).on(DOW)
-    return timetable.Timetable(tt.stops, tt.line_stops, tt.trips, cut(tt.stop_times)), cut(spatial.transfers(tt.stops))
+    """One weekday of the timetable and its transfers, built and stored once for an application and input, as a search opens a timetable that is there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = shared_path(spark, "timetable")
+        tt = timetable.derived(spark, sf_dir)
+        timetable.write(tt, path)
+        spatial.transfers(tt.stops).write.parquet(f"{path}/transfers")
+        _STORED[key] = path
+    return timetable.read(spark, _STORED[key]).on(DOW), spark.read.parquet(f"{_STORED[key]}/transfers")
 
 
 def _starts(tt: timetable.Timetable, t: int) -> DataFrame:
-    """Three queries, from (or to) the stops 0, 1 and 2."""
-    return tt.stops.where("stop_id < 3").select(F.col("stop_id").alias("query_id"), "stop_id", F.lit(t).cast("bigint").alias("t"), F.array().cast(f"array<{raptor.LEG}>").alias("legs"))
+    """A query from (or to) every twentieth stop."""
+    return tt.stops.where("stop_id % 20 = 0").select(F.col("stop_id").alias("query_id"), "stop_id", F.lit(t).cast("bigint").alias("t"), F.lit("start").alias("kind"))
 
 
 def _boards(frontier: str) -> str:
-    return f"SELECT query_id, line_id, seq AS board_seq, arg_min({{'trip': trip_id, 'stop': f.stop_id, 'dep': dep}}, {{'dep': dep, 'trip': trip_id}}) AS b FROM {frontier} f JOIN st ON st.stop_id = f.stop_id AND dep >= t AND dep <= t + {C.HORIZON_S} GROUP BY ALL"
+    return f"SELECT query_id, line_id, seq AS board_seq, arg_min({{'trip': trip_id, 'stop': f.stop_id, 'dep': dep}}, {{'dep': dep, 'trip': trip_id}}) AS b FROM {frontier} f JOIN st ON st.stop_id = f.stop_id AND dep >= t GROUP BY ALL"
 
 
-STARTS = f"f0 AS (SELECT stop_id AS query_id, stop_id, {START_S}::BIGINT AS t FROM supplier, (SELECT s_suppkey AS stop_id FROM supplier) x WHERE s_suppkey = x.stop_id AND x.stop_id < 3)"
+STARTS = f"f0 AS (SELECT s_suppkey AS query_id, s_suppkey AS stop_id, {START_S}::BIGINT AS t FROM supplier WHERE s_suppkey % 20 = 0)"
 
 
 @query(f"WITH {LINES}, {TRIPS}, {TIMES}, {STARTS}, b AS ({_boards('f0')}) SELECT query_id, line_id, board_seq, b.trip AS trip_id, b.stop AS board_stop, b.dep AS board_dep FROM b")
 def earliest_trip(spark, sf_dir):
     tt, _ = _day(spark, sf_dir)
-    return raptor.earliest_trips(_starts(tt, START_S), tt.stop_times).drop("legs")
+    return raptor.earliest_trips(_starts(tt, START_S), tt.stop_times).drop("board_kind")
 
 
-@query(f"WITH {LINES}, {TRIPS}, {TIMES}, {STARTS}, b AS (SELECT query_id, line_id, seq AS alight_seq, arg_max({{'trip': trip_id, 'stop': f.stop_id, 'arr': arr}}, {{'arr': arr, 'trip': trip_id}}) AS b FROM f0 f JOIN st ON st.stop_id = f.stop_id AND arr <= {END_S} AND arr >= {END_S - C.HORIZON_S} GROUP BY ALL) SELECT query_id, line_id, alight_seq, b.trip AS trip_id, b.stop AS alight_stop, b.arr AS alight_arr FROM b")
+@query(f"WITH {LINES}, {TRIPS}, {TIMES}, {STARTS}, b AS (SELECT query_id, line_id, seq AS alight_seq, arg_max({{'trip': trip_id, 'stop': f.stop_id, 'arr': arr}}, {{'arr': arr, 'trip': trip_id}}) AS b FROM f0 f JOIN st ON st.stop_id = f.stop_id AND arr <= {END_S} GROUP BY ALL) SELECT query_id, line_id, alight_seq, b.trip AS trip_id, b.stop AS alight_stop, b.arr AS alight_arr FROM b")
 def latest_trip(spark, sf_dir):
     tt, _ = _day(spark, sf_dir)
-    return raptor.latest_trips(_starts(tt, END_S), tt.stop_times).drop("legs")
+    return raptor.latest_trips(_starts(tt, END_S), tt.stop_times).drop("alight_kind")
 
 
 @query(f"WITH {LINES}, {TRIPS}, {TIMES}, f0 AS (SELECT 0::BIGINT AS query_id, s_suppkey AS stop_id, {START_S}::BIGINT AS t FROM supplier), b AS ({_boards('f0')}) SELECT query_id, line_id, board_seq, b.trip AS trip_id, b.dep AS board_dep FROM b QUALIFY row_number() OVER (PARTITION BY query_id, line_id ORDER BY b.dep, board_seq DESC) = 1")
 def board_one_per_route(spark, sf_dir):
     tt, _ = _day(spark, sf_dir)
-    every = _starts(tt, START_S).select("t", "legs").limit(1).crossJoin(tt.stops.select(F.lit(0).cast("bigint").alias("query_id"), "stop_id"))  # one row
-    return raptor.one_boarding(raptor.earliest_trips(every, tt.stop_times)).drop("legs", "board_stop")
+    every = tt.stops.select(F.lit(0).cast("bigint").alias("query_id"), "stop_id", F.lit(START_S).cast("bigint").alias("t"), F.lit("start").alias("kind"))
+    return raptor.one_boarding(raptor.earliest_trips(every, tt.stop_times)).drop("board_stop", "board_kind")
 
 
-def _rounds(n: int) -> str:
-    """Unrolled rounds: m (transit), k (what improved: frontier) and g (best so far)."""
-    out = [STARTS, "g0 AS (SELECT * FROM f0)"]
+def _rounds(n: int, start: str = STARTS) -> str:
+    """Unrolled rounds: m (transit), f (what improved: frontier) and g (best so far)."""
+    out = [start, "g0 AS (SELECT * FROM f0)"]
     for r in range(1, n + 1):
         p = r - 1
         out += [
@@ -271,18 +281,17 @@ def isochrone(spark, sf_dir):
     return best.groupBy("query_id", F.expr(f"(t - {START_S}) div 900").alias("quarter_hours")).agg(F.count(F.lit(1)).alias("stops"))
 
 
-@query(f"WITH {BASE}, {_rounds(ROUNDS)}, l AS ({_union('f', ROUNDS)}) SELECT query_id, round, count(*) AS improved FROM l GROUP BY ALL")
+@query(f"WITH {BASE}, {_rounds(ROUNDS)}, l AS (SELECT query_id, round, count(*) AS improved, min(t) AS first_t FROM ({_union('f', ROUNDS)}) GROUP BY ALL), r AS (SELECT query_id, round, count(*) AS rides FROM ({_union('m', ROUNDS, 1)}) GROUP BY ALL) SELECT query_id, round, improved, first_t, coalesce(rides, 0) AS rides FROM l LEFT JOIN r USING (query_id, round)")
 def search_counters(spark, sf_dir):
-    per = _labels(spark, sf_dir).groupBy("query_id", "stop_id", "round").agg(F.min("t").alias("t"))
-    return per.groupBy("query_id", "round").agg(F.count(F.lit(1)).alias("improved"))
+    return raptor.counters(_labels(spark, sf_dir)).select("query_id", "round", "improved", "first_t", "rides")
 
 
-def _rounds_back(n: int) -> str:
-    out = [f"f0 AS (SELECT s_suppkey AS query_id, s_suppkey AS stop_id, {END_S}::BIGINT AS t FROM supplier WHERE s_suppkey < 3)", "g0 AS (SELECT * FROM f0)"]
+def _rounds_back(n: int, start: str = f"f0 AS (SELECT s_suppkey AS query_id, s_suppkey AS stop_id, {END_S}::BIGINT AS t FROM supplier WHERE s_suppkey % 20 = 0)") -> str:
+    out = [start, "g0 AS (SELECT * FROM f0)"]
     for r in range(1, n + 1):
         p = r - 1
         out += [
-            f"b{r} AS MATERIALIZED (SELECT query_id, line_id, seq AS at_seq, arg_max({{'trip': trip_id, 'arr': arr}}, {{'arr': arr, 'trip': trip_id}}) AS b FROM f{p} f JOIN st ON st.stop_id = f.stop_id AND arr <= t AND arr >= t - {C.HORIZON_S} GROUP BY ALL)",
+            f"b{r} AS MATERIALIZED (SELECT query_id, line_id, seq AS at_seq, arg_max({{'trip': trip_id, 'arr': arr}}, {{'arr': arr, 'trip': trip_id}}) AS b FROM f{p} f JOIN st ON st.stop_id = f.stop_id AND arr <= t GROUP BY ALL)",
             f"a{r} AS (SELECT query_id, st.stop_id, max(dep) AS t FROM b{r} JOIN st ON st.trip_id = b.trip AND seq < at_seq GROUP BY ALL)",
             f"m{r} AS MATERIALIZED (SELECT a.* FROM a{r} a LEFT JOIN g{p} g USING (query_id, stop_id) WHERE g.t IS NULL OR a.t > g.t)",
             f"n{r} AS (SELECT query_id, stop_id, max(t) AS t FROM (SELECT query_id, stop_id, t FROM m{r} UNION ALL SELECT query_id, from_stop, t - secs FROM m{r} JOIN tr ON to_stop = stop_id) GROUP BY ALL)",
@@ -298,26 +307,61 @@ def raptor_arrive_by(spark, sf_dir):
     return raptor.best_times(raptor.search(_starts(tt, END_S), tt.stop_times, tr, ROUNDS, back=True), back=True)
 
 
-TARGETS = "tg AS (SELECT q.query_id, s.s_suppkey AS stop_id, 60 + s.s_suppkey % 11 * 30 AS cost FROM (SELECT s_suppkey AS query_id FROM supplier WHERE s_suppkey < 3) q, supplier s WHERE s.s_suppkey % 9 = q.query_id + 4)"
-PICKS = f"""{BASE}, {_rounds(ROUNDS)}, {TARGETS}, hit AS (SELECT m.query_id, m.stop_id, t, cost, round, min(round) OVER (PARTITION BY m.query_id) AS first FROM ({_union('m', ROUNDS, 1)}) m JOIN tg USING (query_id, stop_id)),
-sc AS (SELECT *, unnest([0.5, 1.0, 2.0]) AS scalar FROM hit WHERE round < first + {C.ROUND_DELTA}),
-bs AS (SELECT query_id, scalar, round, arg_min({{'stop': stop_id, 't': t, 'cost': cost}}, {{'s': t + CAST(floor(cost * scalar) AS BIGINT), 'stop': stop_id}}) AS b FROM sc GROUP BY ALL),
+TARGETS = "tg AS (SELECT q.query_id, s.s_suppkey AS stop_id, 60 + s.s_suppkey % 11 * 30 AS cost FROM (SELECT s_suppkey AS query_id FROM supplier WHERE s_suppkey % 20 = 0) q, supplier s WHERE s.s_suppkey % 9 = (q.query_id // 20 + 4) % 9)"
+
+
+def _picks(rounds: str, targets: str, scalars: str = "[0.5, 1.0, 2.0]", extra: str = "''") -> str:
+    """The choice of itineraries from labels m; extra: a column of m that comes along as path."""
+    return f"""{BASE}, {rounds}, {targets}, hit AS (SELECT m.query_id, m.stop_id, t, cost, round, {extra} AS path, min(round) OVER (PARTITION BY m.query_id) AS first FROM ({_union('m', ROUNDS, 1)}) m JOIN tg USING (query_id, stop_id)),
+sc AS (SELECT *, unnest({scalars}) AS scalar FROM hit WHERE round < first + {C.ROUND_DELTA}),
+bs AS (SELECT query_id, scalar, round, arg_min({{'stop': stop_id, 't': t, 'cost': cost, 'path': path}}, {{'s': t + CAST(floor(cost * scalar) AS BIGINT), 'stop': stop_id}}) AS b FROM sc GROUP BY ALL),
 pk AS (SELECT * FROM (SELECT *, min(b.t) OVER (PARTITION BY query_id, scalar ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM bs) WHERE prev IS NULL OR b.t < prev),
-itn AS (SELECT DISTINCT query_id, round, b.stop AS stop_id, b.t AS t, b.t + b.cost AS final_t FROM pk)"""
+itn AS (SELECT DISTINCT query_id, round, b.stop AS stop_id, b.t AS t, b.t + b.cost AS final_t, b.path AS path FROM pk),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY t, round, stop_id) AS INTEGER) AS rank FROM itn)"""
+
+
+PICKS = _picks(_rounds(ROUNDS), TARGETS)
+
+
+def _rounds_paths(n: int, start: str) -> str:
+    """_rounds() whose labels carry their legs as text: kind,trip,from,to,start,end,from place,to place; for each."""
+    out = [start, "g0 AS (SELECT query_id, stop_id, t FROM f0)"]
+    for r in range(1, n + 1):
+        p = r - 1
+        out += [
+            f"b{r} AS MATERIALIZED (SELECT query_id, line_id, seq AS board_seq, arg_min({{'trip': trip_id, 'stop': f.stop_id, 'dep': dep, 'path': path}}, {{'dep': dep, 'trip': trip_id}}) AS b FROM f{p} f JOIN st ON st.stop_id = f.stop_id AND dep >= t GROUP BY ALL)",
+            f"a{r} AS (SELECT query_id, st.stop_id, arg_min({{'t': arr, 'path': b.path || concat_ws(',', 'transit', b.trip, b.stop, st.stop_id, b.dep, arr, board_seq, seq) || ';'}}, {{'arr': arr, 'later': -b.dep, 'trip': b.trip, 'board': board_seq, 'seq': seq}}) AS l FROM b{r} JOIN st ON st.trip_id = b.trip AND seq > board_seq GROUP BY ALL)",
+            f"m{r} AS MATERIALIZED (SELECT a.query_id, a.stop_id, l.t AS t, l.path AS path FROM a{r} a LEFT JOIN g{p} g USING (query_id, stop_id) WHERE g.t IS NULL OR l.t < g.t)",
+            f"w{r} AS (SELECT query_id, stop_id, t, 0 AS k, 0::BIGINT AS o, path FROM m{r} UNION ALL SELECT query_id, to_stop, t + secs, 1, from_stop, path || concat_ws(',', 'transfer', '', from_stop, to_stop, t, t + secs, '', '') || ';' FROM m{r} JOIN tr ON from_stop = stop_id)",
+            f"n{r} AS (SELECT query_id, stop_id, arg_min({{'t': t, 'path': path}}, {{'t': t, 'k': k, 'o': o}}) AS l FROM w{r} GROUP BY ALL)",
+            f"f{r} AS MATERIALIZED (SELECT n.query_id, n.stop_id, l.t AS t, l.path AS path FROM n{r} n LEFT JOIN g{p} g USING (query_id, stop_id) WHERE g.t IS NULL OR l.t < g.t)",
+            f"g{r} AS MATERIALIZED (SELECT query_id, stop_id, min(t) AS t FROM (SELECT * FROM g{p} UNION ALL SELECT query_id, stop_id, t FROM f{r}) GROUP BY ALL)",
+        ]
+    return ", ".join(out)
+
+
+LEGS = """pl AS (SELECT query_id, rank, t, final_t, unnest(string_split(rtrim(path, ';'), ';')) AS leg, unnest(range(len(string_split(rtrim(path, ';'), ';')))) AS pos FROM rk),
+lg AS (SELECT query_id, rank, final_t, CAST(pos AS INTEGER) AS pos, split_part(leg, ',', 1) AS kind, CAST(nullif(split_part(leg, ',', 2), '') AS BIGINT) AS trip_id, CAST(split_part(leg, ',', 3) AS BIGINT) AS from_stop, CAST(split_part(leg, ',', 4) AS BIGINT) AS to_stop,
+  CAST(split_part(leg, ',', 5) AS BIGINT) AS start_t, CAST(split_part(leg, ',', 6) AS BIGINT) AS end_t, CAST(nullif(split_part(leg, ',', 7), '') AS INTEGER) AS from_seq, CAST(nullif(split_part(leg, ',', 8), '') AS INTEGER) AS to_seq FROM pl)"""
+PATH_STARTS = f"f0 AS (SELECT s_suppkey AS query_id, s_suppkey AS stop_id, {START_S}::BIGINT AS t, '' AS path FROM supplier WHERE s_suppkey % 20 = 0)"
+
+
+def _targets(tt: timetable.Timetable) -> DataFrame:
+    s = tt.stops.select("stop_id")
+    q = tt.stops.where("stop_id % 20 = 0").select(F.col("stop_id").alias("query_id"), ((F.expr("stop_id div 20") + 4) % 9).alias("rest"))
+    return q.join(s.withColumn("rest", F.col("stop_id") % 9), "rest").select("query_id", "stop_id", (F.lit(60) + F.col("stop_id") % 11 * 30).alias("cost"))
 
 
-def _picked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, timetable.Timetable]:
+def _picked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, timetable.Timetable]:
     tt, tr = _day(spark, sf_dir)
     labels = raptor.search(_starts(tt, START_S), tt.stop_times, tr, ROUNDS)
-    s = tt.stops.select("stop_id")
-    q = tt.stops.where("stop_id < 3").select(F.col("stop_id").alias("query_id"))
-    targets = q.join(s, F.expr("stop_id % 9 = query_id + 4")).select("query_id", "stop_id", (F.lit(60) + F.col("stop_id") % 11 * 30).alias("cost"))
-    return raptor.pick_itineraries(labels, targets, C.WALK_SCALARS, ROUNDS, C.ROUND_DELTA), tt
+    picked = raptor.pick_itineraries(labels, _targets(tt), C.WALK_SCALARS, ROUNDS, C.ROUND_DELTA)
+    return picked, labels, tt
 
 
-@query(f"WITH {PICKS} SELECT query_id, round, stop_id, t, final_t, CAST(row_number() OVER (PARTITION BY query_id ORDER BY t, round, stop_id) AS INTEGER) AS rank FROM itn")
+@query(f"WITH {PICKS} SELECT query_id, round, stop_id, t, final_t, rank FROM rk")
 def plan_itineraries(spark, sf_dir):
-    return _picked(spark, sf_dir)[0].drop("legs")
+    return _picked(spark, sf_dir)[0]
 
 
 @query(f"WITH {PICKS} SELECT query_id, round, final_t FROM (SELECT *, min(final_t) OVER (PARTITION BY query_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (SELECT query_id, round, min(final_t) AS final_t FROM itn GROUP BY ALL)) WHERE prev IS NULL OR final_t < prev")
@@ -327,34 +371,92 @@ def plan_pareto(spark, sf_dir):
     return per.withColumn("prev", F.min("final_t").over(before)).where("prev is null or final_t < prev").drop("prev")
 
 
-@query()
+@query(f"WITH {BASE}, {_rounds(ROUNDS)}, {TARGETS}, h AS (SELECT query_id, stop_id, max(round) AS round FROM ({_union('m', ROUNDS, 1)}) GROUP BY ALL) SELECT query_id, count(*) AS targets, count(round) AS reached, max(round) AS rounds FROM tg LEFT JOIN h USING (query_id, stop_id) GROUP BY ALL")
+def targets_reached(spark, sf_dir):
+    _, labels, tt = _picked(spark, sf_dir)
+    return raptor.reach(labels, _targets(tt))
+
+
+@query(f"WITH {_picks(_rounds_paths(ROUNDS, PATH_STARTS), TARGETS, extra='path')}, {LEGS} SELECT query_id, rank, pos, kind, trip_id, from_stop, to_stop, start_t, end_t, from_seq, to_seq FROM lg")
 def itinerary_legs(spark, sf_dir):
-    picked, _ = _picked(spark, sf_dir)
-    return picked.select("query_id", "rank", F.posexplode("legs").alias("pos", "l")).select("query_id", "rank", "pos", "l.*")
+    picked, labels, _ = _picked(spark, sf_dir)
+    return raptor.unwind(picked, labels, ROUNDS)
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked, labels, tt = _picked(spark, sf_dir)
+    picked = cut(picked)
+    legs = itinerary.described(raptor.unwind(picked, labels, ROUNDS), tt.stops, tt.lines, tt.line_stops, tt.trips)
+    asked = tt.stops.where("stop_id % 20 = 0").select(F.col("stop_id").alias("query_id"), *[F.col(c).alias(f"{e}_{c}") for e in ("from", "to") for c in ("lat", "lon")])
+    return itinerary.responses(picked.withColumn("start_t", F.lit(START_S).cast("bigint")).select("query_id", "rank", "start_t", "final_t"), legs, asked)
 
 
 @query()
 def plan_responses(spark, sf_dir):
-    picked, tt = _picked(spark, sf_dir)
-    return itinerary.responses(picked, _starts(tt, START_S).select("query_id", F.col("t").alias("start_t")), tt.stops)
+    return _answered(spark, sf_dir)
+
+
+NAMES = "nm AS (SELECT n_nationkey::BIGINT AS line_id, n_name AS route, r_name AS agency FROM nation JOIN region ON n_regionkey = r_regionkey)"
 
 
-def _requests(tt: timetable.Timetable) -> DataFrame:
+@query(f"""WITH {_picks(_rounds_paths(ROUNDS, PATH_STARTS), TARGETS, extra='path')}, {LEGS}, {NAMES},
+sh AS (SELECT lg.query_id, lg.rank, lg.pos, string_agg(printf('%.5f,%.5f', lat, lon), ' ' ORDER BY seq) AS shape FROM lg JOIN trips USING (trip_id) JOIN ls ON ls.line_id = trips.line_id AND seq >= from_seq AND seq < to_seq JOIN stops ON stops.stop_id = ls.stop_id GROUP BY ALL)
+SELECT lg.query_id, lg.rank - 1 AS itinerary, lg.pos, kind, {START_S}::BIGINT * 1000 AS starts, final_t * 1000 AS ends, start_t * 1000 AS start_time, end_t * 1000 AS end_time, CAST(from_stop AS VARCHAR) AS from_stop, CAST(to_stop AS VARCHAR) AS to_stop, route, agency, shape
+FROM lg LEFT JOIN trips USING (trip_id) LEFT JOIN nm USING (line_id) LEFT JOIN sh ON sh.query_id = lg.query_id AND sh.rank = lg.rank AND sh.pos = lg.pos""")
+def plan_response_legs(spark, sf_dir):
+    """The JSON answers read back, a row for each leg, with the ridden part of the shape."""
+    read = itinerary.parse_responses(_answered(spark, sf_dir)).select("query_id", F.posexplode("response.itineraries").alias("itinerary", "i"))
+    legs = read.select("query_id", "itinerary", "i", F.posexplode("i.legs").alias("pos", "leg")).withColumn("l", F.coalesce("leg.transit", "leg.transfer"))
+    shape = F.transform(polyline.decode_polyline()(F.col("l.route_shape")), lambda x: F.concat_ws(",", F.format_string("%.5f", x["lat"]), F.format_string("%.5f", x["lon"])))
+    return legs.select("query_id", "itinerary", "pos", F.when(F.col("leg.transit").isNotNull(), "transit").otherwise("transfer").alias("kind"), F.col("i.start_time").alias("starts"), F.col("i.end_time").alias("ends"), "l.start_time", "l.end_time", F.col("l.start_location.stop").alias("from_stop"), F.col("l.end_location.stop").alias("to_stop"), F.col("l.transit_route").alias("route"), F.col("l.transit_agency").alias("agency"), F.when(F.col("l.route_shape").isNotNull(), F.array_join(shape, " ")).alias("shape"))
+
+
+def _requests(spark: SparkSession, sf_dir: str, tt: timetable.Timetable) -> DataFrame:
+    """From beside every twentieth stop to beside some other one."""
+    n = _table(spark, sf_dir, "supplier").count()
     s = tt.stops.select("stop_id", "lat", "lon")
-    a = s.where("stop_id < 3").selectExpr("stop_id AS query_id", "lat + 0.001 AS from_lat", "lon + 0.001 AS from_lon", "stop_id * 3 + 3 AS to_stop")
+    a = s.where("stop_id % 20 = 0").selectExpr("stop_id AS query_id", "lat + 0.001 AS from_lat", "lon + 0.001 AS from_lon", f"(stop_id * 7 + 13) % {n} AS to_stop")
     return a.join(s.selectExpr("stop_id AS to_stop", "lat + 0.002 AS to_lat", "lon AS to_lon"), "to_stop").withColumns({"start_t": F.lit(START_S).cast("bigint"), "end_t": F.lit(END_S).cast("bigint")})
 
 
-@query()
+def _access(name: str, lat: str, lon: str) -> str:
+    """CTEs of the stops that walks from points of rq reach, and their cost."""
+    return f"""{name}p AS (SELECT query_id, {R}::DOUBLE * cos(radians({lat})) * sin(radians({lon})) AS x, {R}::DOUBLE * cos(radians({lat})) * cos(radians({lon})) AS y, {R}::DOUBLE * sin(radians({lat})) AS z FROM rq),
+{name} AS (SELECT query_id, stop_id, CAST(floor({D} * 2.0::DOUBLE) AS BIGINT) AS cost FROM {name}p a JOIN stops b ON {D} <= 1500 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {D}, stop_id) <= 100)"""
+
+
+RQ = "rq AS (SELECT a.stop_id AS query_id, a.lat + 0.001::DOUBLE AS flat, a.lon + 0.001::DOUBLE AS flon, b.lat + 0.002::DOUBLE AS tlat, b.lon AS tlon FROM s0 a JOIN s0 b ON b.stop_id = (a.stop_id * 7 + 13) % (SELECT count(*) FROM supplier) WHERE a.stop_id % 20 = 0)"
+AHEAD = f"{RQ}, {_access('fa', 'flat', 'flon')}, f0 AS (SELECT query_id, stop_id, {START_S}::BIGINT + cost AS t FROM fa)"
+BEHIND = f"{RQ}, {_access('ta', 'tlat', 'tlon')}, f0 AS (SELECT query_id, stop_id, {END_S}::BIGINT - cost AS t FROM ta)"
+
+
+@query(f"WITH {_picks(_rounds(ROUNDS, AHEAD), _access('tg', 'tlat', 'tlon'))} SELECT query_id, round, stop_id, t, final_t, rank FROM rk")
 def plan_depart_at(spark, sf_dir):
     tt, tr = _day(spark, sf_dir)
-    return journeys.depart_at(_requests(tt), tt, tr).drop("legs")
+    return journeys.depart_at(_requests(spark, sf_dir, tt), tt, tr)[0]
 
 
-@query()
+@query(f"WITH {_picks(_rounds_back(ROUNDS, BEHIND), _access('tg', 'flat', 'flon'), '[1.0]').replace('m.stop_id, t, cost', 'm.stop_id, -t AS t, cost')} SELECT query_id, round, stop_id, -t AS t, -final_t AS leave_t, rank FROM rk")
 def plan_arrive_by(spark, sf_dir):
     tt, tr = _day(spark, sf_dir)
-    return journeys.arrive_by(_requests(tt), tt, tr).drop("legs")
+    return journeys.arrive_by(_requests(spark, sf_dir, tt), tt, tr)[0]
+
+
+@query("SELECT s_suppkey AS stop_id, s_name AS name FROM supplier")
+def stop_metadata(spark, sf_dir):
+    return timetable.derived(spark, sf_dir).stops.select("stop_id", "name")
+
+
+@query(f"WITH {TRIPS}, {NAMES} SELECT trip_id, o_orderpriority AS headsign, route, agency FROM trips JOIN orders ON o_orderkey = trip_id JOIN nm USING (line_id)")
+def trip_metadata(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    return tt.trips.join(tt.lines, "line_id", "left").select("trip_id", "headsign", F.col("route_name").alias("route"), F.col("agency_name").alias("agency"))
+
+
+@query(f"WITH {STOPS}, {LINES} SELECT line_id, count(*) AS n, string_agg(printf('%.5f,%.5f,%.1f', lat, lon, seq * 100.0), ' ' ORDER BY seq) AS shape FROM ls JOIN stops USING (stop_id) GROUP BY ALL")
+def route_shapes(spark, sf_dir):
+    one = lambda x: F.concat_ws(",", F.format_string("%.5f", x["lat"]), F.format_string("%.5f", x["lon"]), F.format_string("%.1f", x["dist"]))
+    return timetable.derived(spark, sf_dir).lines.select("line_id", F.size("points").cast("bigint").alias("n"), F.array_join(F.transform("points", one), " ").alias("shape"))
 
 
 EDGES = "e AS (SELECT l_suppkey AS a, l_partkey % (SELECT count(*) FROM supplier) AS b, CAST(l_quantity * 1000 AS BIGINT) AS weight_mm, l_returnflag <> 'R' AS fwd, l_linestatus = 'O' AS rev, CASE WHEN l_linenumber = 7 THEN 'ferry' ELSE 'road' END AS use, l_linenumber = 6 AS is_transit, l_linenumber = 5 AS is_shortcut, l_orderkey * 10 + l_linenumber AS ord FROM lineitem)"
@@ -409,6 +511,45 @@ def top_degree_patterns(spark, sf_dir):
     return _degrees(spark, sf_dir).groupBy("n_in", "n_out").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "n_in", "n_out").limit(20)
 
 
+@query(f"WITH {EDGES}, {DEGREES} SELECT neighbours, n_in, n_out, count(*) AS n FROM deg GROUP BY ALL ORDER BY n DESC, neighbours, n_in, n_out LIMIT 20")
+def top_neighbour_patterns(spark, sf_dir):
+    return _degrees(spark, sf_dir).groupBy("neighbours", "n_in", "n_out").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "neighbours", "n_in", "n_out").limit(20)
+
+
+@query(f"WITH {EDGES}, {DEGREES}, c AS (SELECT CASE WHEN n_in + n_out = 0 THEN 'isolated' WHEN n_in = 0 OR n_out = 0 THEN 'dead_end' WHEN loops > 0 THEN 'branch' WHEN neighbours = 2 THEN 'chain' WHEN neighbours > 2 THEN 'branch' ELSE 'dead_end' END AS class FROM deg) SELECT count(*) AS nodes, count(*) FILTER (class IN ('branch', 'dead_end')) AS kept, count(*) FILTER (class = 'chain') AS collapsed, round(count(*) FILTER (class IN ('branch', 'dead_end')) / count(*), 6) AS keep_ratio, round(count(*) FILTER (class = 'chain') / count(*), 6) AS collapse_ratio FROM c")
+def keep_ratios(spark, sf_dir):
+    return walking.class_ratios(_degrees(spark, sf_dir).groupBy(walking.node_class().alias("class")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(f"WITH {EDGES} SELECT a, b, count(*) AS n FROM e WHERE a % 3 <> 0 AND b // 5 % 2 = 0 GROUP BY ALL")
+def accessible_edges(spark, sf_dir):
+    n = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    edges = _edges(spark, sf_dir).withColumn("end_tile", F.expr("b div 5"))
+    tiles = n.select(F.expr("node div 5").alias("tile")).distinct().where("tile % 2 = 0")
+    return walking.accessible(edges, n.withColumn("pedestrian", F.col("node") % 3 != 0), tiles).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_nationkey AS tile, count(*) AS n_nodes, CAST(coalesce(sum(count(*)) OVER (ORDER BY s_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM supplier GROUP BY s_nationkey")
+def tile_manifest(spark, sf_dir):
+    return walking.tile_manifest(_table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("tile")).agg(F.count(F.lit(1)).alias("n_nodes")))
+
+
+def _haversine(a: str, b: str) -> str:
+    return f"round(2 * {R} * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))), 6)"
+
+
+@query(f"WITH {STOPS}, {LINES}, p AS (SELECT line_id, {_haversine('a', 'b')} AS d FROM ls x JOIN ls y USING (line_id) JOIN stops a ON a.stop_id = x.stop_id JOIN stops b ON b.stop_id = y.stop_id WHERE y.seq = x.seq + 1) SELECT line_id, CAST(round(sum(d), 1) AS DOUBLE) AS metres FROM p GROUP BY ALL")
+def shape_lengths(spark, sf_dir):
+    return timetable.derived(spark, sf_dir).lines.where("size(points) > 1").select("line_id", F.round(walking.shape_length_mm(F.col("points")) / 1000, 1).alias("metres"))
+
+
+@query(f"WITH {STOPS}, {LINES} SELECT stop_id AS node, count(*) AS n FROM (SELECT first(stop_id ORDER BY seq) AS stop_id, unnest(range(count(*))) AS k FROM ls GROUP BY line_id) GROUP BY ALL")
+def line_geometry_points(spark, sf_dir):
+    tt = timetable.derived(spark, sf_dir)
+    edges = tt.lines.join(tt.line_stops.where("seq = 0"), "line_id").select(F.col("stop_id").alias("a"), F.col("points").alias("shape"))
+    return walking.geometry_points(edges).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+
+
 GRID = "gr AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, 300000 + (a.s_suppkey + b.s_suppkey) % 7 * 1000 AS w FROM supplier a JOIN supplier b ON (abs(a.s_suppkey - b.s_suppkey) = 1 AND a.s_suppkey // 10 = b.s_suppkey // 10) OR abs(a.s_suppkey - b.s_suppkey) = 10)"
 
 
@@ -424,6 +565,26 @@ def walk_shortest(spark, sf_dir):
     return walking.shortest(cut(_grid(spark, sf_dir)), sources, 1_500_000)
 
 
+PLACES = "pl AS (SELECT stop_id AS place_id, lat + 0.0002::DOUBLE AS lat, lon FROM s0 WHERE stop_id % 20 = 0), px AS (SELECT *, {R}::DOUBLE * cos(radians(lat)) * sin(radians(lon)) AS x, {R}::DOUBLE * cos(radians(lat)) * cos(radians(lon)) AS y, {R}::DOUBLE * sin(radians(lat)) AS z FROM pl), sn AS (SELECT place_id, stop_id AS node, CAST(floor({D} * 1000.0::DOUBLE * 2) AS BIGINT) AS snap_mm FROM px a JOIN stops b ON {D} <= 50)".replace("{R}", str(R)).replace("{D}", D)
+
+
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Places beside every twentieth stop, and the points of the street nodes, which lie at the stops."""
+    s = timetable.derived(spark, sf_dir).stops
+    return s.where("stop_id % 20 = 0").select(F.col("stop_id").alias("place_id"), (F.col("lat") + F.lit(0.0002)).alias("lat"), "lon"), s.select(F.col("stop_id").alias("node"), "lat", "lon")
+
+
+@query(f"WITH {STOPS}, {PLACES} SELECT place_id, node, snap_mm FROM sn")
+def snap_costs(spark, sf_dir):
+    return walking.snap(*_places(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {STOPS}, {PLACES}, {GRID}, w(source, node, dist, n) AS (SELECT place_id, node, snap_mm, 0 FROM sn UNION SELECT source, dst, dist + w, n + 1 FROM w JOIN gr ON src = node WHERE dist + w <= 1500000) SELECT source AS from_place, place_id AS to_place, min(dist + snap_mm) AS mm FROM w JOIN sn USING (node) WHERE source <> place_id AND dist + snap_mm <= 1500000 GROUP BY ALL")
+def walk_matrix(spark, sf_dir):
+    places, points = _places(spark, sf_dir)
+    return walking.walk_matrix(cut(_grid(spark, sf_dir)), places, points, 1_500_000)
+
+
 @query()
 def walk_paths(spark, sf_dir):
     grid = _grid(spark, sf_dir).withColumn("tile", F.expr("src div 100"))
@@ -448,7 +609,10 @@ def shape_clip(spark, sf_dir):
     return p.where(F.size(clipped) > 0).select("line_id", F.array_join(F.transform(clipped, lambda x: x["stop_id"].cast("string")), ">").alias("clipped"))
 
 
-@query()
+@query(f"""WITH {STOPS}, {LINES}, g AS (SELECT line_id, x.seq AS k, a.lat AS alat, a.lon AS alon, b.lat - a.lat AS dy, b.lon - a.lon AS dx FROM ls x JOIN ls y USING (line_id) JOIN s0 a ON a.stop_id = x.stop_id JOIN s0 b ON b.stop_id = y.stop_id WHERE y.seq = x.seq + 1),
+h AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0::DOUBLE ELSE ((-122.39::DOUBLE - alon) * dx + (47.51::DOUBLE - alat) * dy) / (dx * dx + dy * dy) END)) AS f FROM g),
+d AS (SELECT line_id, k, f, (alon + f * dx + 122.39::DOUBLE) * (alon + f * dx + 122.39::DOUBLE) + (alat + f * dy - 47.51::DOUBLE) * (alat + f * dy - 47.51::DOUBLE) AS d2 FROM h)
+SELECT line_id, arg_min(k, {{'d2': d2, 'k': k}}) AS k, round(arg_min(f, {{'d2': d2, 'k': k}}), 6) AS f FROM d GROUP BY ALL""")
 def closest_shape_point(spark, sf_dir):
     tt = timetable.derived(spark, sf_dir)
     p = tt.line_stops.join(tt.stops, "stop_id").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("p"))
@@ -464,8 +628,7 @@ def feed_concat(spark, sf_dir):
 @query(f"WITH {STOPS} SELECT s_nationkey AS feed_id, CAST(round(avg(lat), 6) * 1000000 AS BIGINT) AS lat_e6, CAST(round(avg(lon), 6) * 1000000 AS BIGINT) AS lon_e6 FROM stops JOIN supplier ON s_suppkey = stop_id GROUP BY ALL")
 def feed_centroid(spark, sf_dir):
     s = timetable.derived(spark, sf_dir).stops.join(_table(spark, sf_dir, "supplier"), F.expr("s_suppkey = stop_id"))
-    micro = lambda c: F.round(F.round(F.avg(c), 6) * 1_000_000).cast("bigint")
-    return s.groupBy(F.col("s_nationkey").alias("feed_id")).agg(micro("lat").alias("lat_e6"), micro("lon").alias("lon_e6"))
+    return timetable.centroids(s.withColumn("feed_id", F.col("s_nationkey")), "feed_id")
 
 
 REGISTRY = [
@@ -474,6 +637,9 @@ REGISTRY = [
     ("three", '{"feeds":[{"id":"f-d","spec":"gtfs","tags":{"k":"v"},"urls":{"static_current":"ftp://d.example.com/g.zip"}}]}'),
     ("four", '{"feeds":[{"id":"f-e","spec":"teleport","urls":{"static_current":"https://e.example.com"}}]}'),
     ("five", "not json"),
+    ("six", '{"feeds":[],"operators":[{"onestop_id":"o-a","name":"A","colour":"red"}]}'),
+    ("seven", '{"feeds":[{"id":"f-g","spec":"gtfs","license":{"commercial_use_allowed":"perhaps"},"urls":{}}],"operators":[]}'),
+    ("eight", '{"feeds":[{"id":"f-h","spec":"gtfs","license":{"commercial_use_allowed":"yes"},"urls":{"static_current":"http://h.example.com/g.zip"}}],"operators":[{"onestop_id":"o-h","name":"H","website":"https://h.example.com"}]}'),
 ]
 
 
@@ -481,12 +647,12 @@ def _registry(spark: SparkSession) -> DataFrame:
     return registry.parse(spark.createDataFrame(REGISTRY, "file string, body string"))
 
 
-@query("SELECT * FROM (VALUES ('one', 0, 'f-a', 'https://a.example.com/g.zip', 'one.0.zip'), ('three', 0, 'f-d', 'ftp://d.example.com/g.zip', 'three.0.zip')) t(file, feed_index, feed_id, url, target)")
+@query("SELECT * FROM (VALUES ('one', 0, 'f-a', 'https://a.example.com/g.zip', 'one.0.zip'), ('three', 0, 'f-d', 'ftp://d.example.com/g.zip', 'three.0.zip'), ('eight', 0, 'f-h', 'http://h.example.com/g.zip', 'eight.0.zip')) t(file, feed_index, feed_id, url, target)")
 def registry_static_urls(spark, sf_dir):
     return registry.static_urls(_registry(spark))
 
 
-@query("SELECT * FROM (VALUES ('two'), ('four'), ('five')) t(file)")
+@query("SELECT * FROM (VALUES ('two'), ('four'), ('five'), ('six'), ('seven')) t(file)")
 def registry_invalid(spark, sf_dir):
     return _registry(spark).where("not valid").select("file")
 

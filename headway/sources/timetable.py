@@ -2,61 +2,104 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from headway.functions.geo import with_cartesian
+from headway.plans.lineage import cut
 
 
 @dataclass
 class Timetable:
-    """stops (stop_id, lat, lon, x, y, z), line_stops (line_id, stop_id, seq), stop_times (trip_id, line_id, service_dow, seq, stop_id, arr, dep)."""
+    """stops (stop_id, name, lat, lon, x, y, z), line_stops (line_id, stop_id, seq, dist), trips (trip_id, line_id, service_dow, headsign, start_s),
+    stop_times (trip_id, line_id, service_dow, seq, stop_id, arr, dep), lines (line_id, route_name, agency_name, points). A line is a
+    pattern: a route with one order of stops. points: its shape, structs (lat, lon, dist)."""
 
     stops: DataFrame
     line_stops: DataFrame
     trips: DataFrame
     stop_times: DataFrame
+    lines: DataFrame
 
     def on(self, dow: int) -> Timetable:
         """The trips of one weekday; the filter is by the column that the stored tables are partitioned by."""
-        return Timetable(self.stops, self.line_stops, self.trips.where(F.col("service_dow") == dow), self.stop_times.where(F.col("service_dow") == dow))
+        return Timetable(self.stops, self.line_stops, self.trips.where(F.col("service_dow") == dow), self.stop_times.where(F.col("service_dow") == dow), self.lines)
 
 
 def derived(spark: SparkSession, sf_dir: str) -> Timetable:
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     k = F.col("s_suppkey")
-    stops = table("supplier").select(k.alias("stop_id"), (F.lit(47.5) + F.pmod(k, F.lit(10)) * F.lit(0.004)).alias("lat"), (F.lit(-122.4) + F.pmod(F.expr("s_suppkey div 10"), F.lit(10)) * F.lit(0.004) + F.expr("s_suppkey div 100") * F.lit(0.05)).alias("lon"))
-    serves = F.expr("s_nationkey = n_nationkey OR s_suppkey % 5 IN (n_nationkey % 5, (n_nationkey + 1) % 5)")
+    stops = table("supplier").select(k.alias("stop_id"), F.col("s_name").alias("name"), (F.lit(47.5) + F.pmod(k, F.lit(10)) * F.lit(0.004)).alias("lat"), (F.lit(-122.4) + F.pmod(F.expr("s_suppkey div 10"), F.lit(10)) * F.lit(0.004) + F.expr("s_suppkey div 100") * F.lit(0.05)).alias("lon"))
+    # a supplier serves its own nation and those of two remainders; as keys of an equi-join: (0, nation) and (1, remainder)
+    nation, supplier = F.col("n_nationkey").cast("bigint"), F.col("s_nationkey").cast("bigint")
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("bigint").alias("value"))
+    asks = table("nation").select(nation.alias("line_id"), F.explode(F.array(key(0, nation), key(1, nation % 5), key(1, (nation + 1) % 5))).alias("key"))
+    has = table("supplier").select(k.alias("stop_id"), F.explode(F.array(key(0, supplier), key(1, k % 5))).alias("key"))
+    lines = asks.join(has, "key").select("line_id", "stop_id").distinct()
     order = Window.partitionBy("line_id").orderBy(F.expr("(stop_id * 7919 + line_id * 4729) % 10007"), "stop_id")
-    lines = table("nation").join(table("supplier"), serves).select(F.col("n_nationkey").cast("bigint").alias("line_id"), k.alias("stop_id"))
-    line_stops = lines.withColumn("seq", F.row_number().over(order) - 1).where("seq < 20")
-    trips = table("orders").join(table("customer"), F.expr("o_custkey = c_custkey")).selectExpr("o_orderkey AS trip_id", "cast(c_nationkey AS bigint) AS line_id", "cast(o_orderkey % 7 AS int) AS service_dow", "18000 + (o_orderkey * 613 % 1140) * 60 AS start_s")
-    stop_times = trips.join(F.broadcast(line_stops), "line_id").selectExpr("trip_id", "line_id", "service_dow", "seq", "stop_id", "start_s + seq * 180 AS arr", "start_s + seq * 180 + 20 AS dep")  # 20 stops a line
-    return Timetable(with_cartesian(stops), line_stops, trips, stop_times)
+    line_stops = lines.withColumn("n", F.row_number().over(order)).where("n <= 20").select("line_id", "stop_id", (F.col("n") - 1).alias("seq"), ((F.col("n") - 1) * 100.0).cast("double").alias("dist"))
+    trips = table("orders").join(table("customer"), F.expr("o_custkey = c_custkey")).selectExpr("o_orderkey AS trip_id", "cast(c_nationkey AS bigint) AS line_id", "cast(o_orderkey % 7 AS int) AS service_dow", "o_orderpriority AS headsign", "18000 + (o_orderkey * 613 % 1140) * 60 AS start_s")
+    stop_times = trips.join(F.broadcast(line_stops), "line_id").selectExpr("trip_id", "line_id", "service_dow", "seq", "stop_id", "start_s + seq * 180 AS arr", "start_s + seq * 180 + 20 AS dep")  # 25 lines of 20 stops
+    points = line_stops.join(stops, "stop_id").groupBy("line_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct("lat", "lon", "dist").alias("p")))), lambda x: x["p"]).alias("points"))
+    named = table("nation").join(table("region"), F.expr("n_regionkey = r_regionkey")).select(nation.alias("line_id"), F.col("n_name").alias("route_name"), F.col("r_name").alias("agency_name"))
+    return Timetable(with_cartesian(stops), line_stops, trips, stop_times, named.join(points, "line_id"))
 
 
 def write(tt: Timetable, path: str) -> None:
-    """One parquet folder for each table; stop_times by weekday and, inside, by line, so that searches read what they need."""
-    tt.stops.write.mode("overwrite").parquet(f"{path}/stops")
-    tt.line_stops.write.mode("overwrite").parquet(f"{path}/line_stops")
-    tt.trips.write.mode("overwrite").partitionBy("service_dow").parquet(f"{path}/trips")
-    tt.stop_times.repartition("service_dow", "line_id").sortWithinPartitions("line_id", "seq", "dep").write.mode("overwrite").partitionBy("service_dow").parquet(f"{path}/stop_times")
+    """One parquet folder for each table; trips and stop_times by weekday and stop_times, inside, by line, so that searches read what they need."""
+    for name in (f.name for f in fields(Timetable)):
+        df = getattr(tt, name)
+        if name == "stop_times":
+            df = df.repartition("service_dow", "line_id").sortWithinPartitions("line_id", "seq", "dep")
+        out = df.write.mode("overwrite")
+        (out.partitionBy("service_dow") if name in ("trips", "stop_times") else out).parquet(f"{path}/{name}")
 
 
 def read(spark: SparkSession, path: str) -> Timetable:
-    return Timetable(*(spark.read.parquet(f"{path}/{t}") for t in ("stops", "line_stops", "trips", "stop_times")))
+    return Timetable(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(Timetable)))
+
+
+def dense_ids(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """rows with `name`, numbers from 0 in the order of the columns `by`, which tell the rows apart. Numbers are made in ranges: rows of a range are
+    counted first, then numbered from the sum of those before, so no task sees all rows."""
+    ranged = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part_", F.spark_partition_id()))
+    starts = ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("n_")).withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    local = ranged.withColumn("k_", F.row_number().over(Window.partitionBy("part_").orderBy(*by)) - 1)
+    return local.join(F.broadcast(starts), "part_").withColumn(name, (F.col("before_") + F.col("k_")).cast("bigint")).drop("part_", "n_", "before_", "k_")  # one row a range
+
+
+#: Of each table, the ids that are numbered anew when feeds are put together, by the table that owns them.
+KEYS = {"stops": {"stop_id": "stops"}, "line_stops": {"line_id": "lines", "stop_id": "stops"}, "trips": {"trip_id": "trips", "line_id": "lines"}, "stop_times": {"trip_id": "trips", "line_id": "lines", "stop_id": "stops"}, "lines": {"line_id": "lines"}}
+OWNERS = {"stops": "stop_id", "lines": "line_id", "trips": "trip_id"}
 
 
 def concat(feeds: dict[str, DataFrame], key: str) -> DataFrame:
     """The rows of all feeds with `key` renumbered: each feed's ids follow those of the feeds before it (by name)."""
-    out, spark = None, next(iter(feeds.values())).sparkSession
     sizes = [(name, int(df.agg(F.coalesce(F.max(key) + 1, F.lit(0))).first()[0])) for name, df in sorted(feeds.items())]  # a number a feed
-    at = 0
+    out, at = [], 0
     for name, n in sizes:
-        part = feeds[name].withColumn(key, F.col(key) + F.lit(at)).withColumn("feed_id", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+        out.append(feeds[name].withColumn(key, F.col(key) + F.lit(at)).withColumn("feed_id", F.lit(name)))
         at += n
-    assert spark is out.sparkSession
-    return out
+    return reduce(DataFrame.unionByName, out)
+
+
+def concat_timetables(feeds: Sequence[Timetable]) -> Timetable:
+    """One timetable out of several, in their order: stops, lines and trips of each are numbered after those of the ones before, wherever an id of them stands;
+    names, shapes and head signs come along."""
+    at, parts = dict.fromkeys(OWNERS, 0), {f.name: [] for f in fields(Timetable)}
+    for tt in feeds:
+        for name, ids in KEYS.items():
+            parts[name].append(getattr(tt, name).withColumns({c: F.col(c) + F.lit(at[owner]) for c, owner in ids.items()}))
+        for owner, c in OWNERS.items():
+            at[owner] += int(getattr(tt, owner).agg(F.coalesce(F.max(c) + 1, F.lit(0))).first()[0])  # a number
+    return Timetable(*(reduce(DataFrame.unionByName, parts[f.name]) for f in fields(Timetable)))
+
+
+def centroids(stops: DataFrame, by: str) -> DataFrame:
+    """(by, lat_e6, lon_e6): the mean place of each feed's stops in millionths of a degree, which feeds are ordered by."""
+    micro = lambda c: F.round(F.round(F.avg(c), 6) * 1_000_000).cast("bigint")
+    return stops.groupBy(by).agg(micro("lat").alias("lat_e6"), micro("lon").alias("lon_e6"))
