@@ -15,7 +15,7 @@ from headway.llm.tokens import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
+    """Documents that the current policy keeps. Null, empty and very short texts go; repeated rows are judged alike; an empty table stays empty."""
     return quality.filter_quality(docs)
 
 
@@ -26,17 +26,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has; n_chars counts what is left."""
+    """Texts without the passages that an earlier document has; n_chars counts what is left. All rows stay; null texts become empty. Rows with
+    equal ids, and null ids, don't remove from each other; an empty table stays empty."""
     return suffix_dedup.dedup_documents(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's weight asks for."""
+    """Each document as often as its source's weight asks for. Texts without words are never taken, a null source is a source; rows that share id and source are taken
+    equally often; an empty table stays empty."""
     return mixing.mix_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences. A null text is empty and has the end id only; repeated rows are packed each; an empty table
+    gives no pieces."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -61,9 +61,13 @@ def read_feeds(spark: SparkSession, folder: str) -> DataFrame:
 def store_feeds(rows: DataFrame, path: str | None = None) -> DataFrame:
     """read_feeds() written once, by member, so that each table reads its own rows; feeds with an error keep only that. A run that was broken off is
     written anew as a whole (the folder has _SUCCESS when it is complete)."""
-    spark = rows.sparkSession
-    path = path or shared_path(spark, "feeds")
+    path = path or shared_path(rows.sparkSession, "feeds")
     rows.write.mode("overwrite").partitionBy("member").parquet(path)
+    return stored_feeds(rows.sparkSession, path)
+
+
+def stored_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """What store_feeds() wrote."""
     stored = spark.read.schema("feed_id string, row map<string,string>, error string, member string").parquet(path)
     bad = stored.where("error is not null").select("feed_id").distinct()
     return stored.join(F.broadcast(bad), "feed_id", "left_anti").unionByName(stored.where("error is not null"))  # one row a feed

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from headway import queries
 from headway.functions.polyline import decode_points, encode_points
 from headway.operators import itinerary, raptor, spatial, walking
-from headway.plans import journeys
+from headway.plans import build, journeys
 from headway.sources import gtfs, registry, timetable
 
 SF = "/root/testdata/sf0.001"
@@ -245,3 +245,20 @@ def test_paths_with_shapes_and_transfers(spark):
     assert length(0, 0.001) == 111_194 and length(5) == 0
     with pytest.raises(Exception, match="edge too long"):
         length(0, 40)
+
+
+def test_builds_are_taken_up_again(spark, tmp_path):
+    feeds, out = tmp_path / "in", f"file://{tmp_path}/out"
+    feeds.mkdir()
+    write_feed(feeds / "one.zip")
+    with pytest.raises(FileNotFoundError):
+        build.build(spark, str(feeds), out, "2025-06-03", 2, "concat")
+    path = build.build(spark, str(feeds), out, "2025-06-03", 2, "prepare")
+    assert build.complete(spark, f"{path}/feeds") and not build.complete(spark, f"{path}/lines")
+    assert build.build(spark, str(feeds), out, "2025-06-03", 2, "concat") == path
+    when = (tmp_path / "out" / path.rpartition("/")[2] / "stops" / "_SUCCESS").stat().st_mtime_ns
+    assert build.build(spark, str(feeds), out, "2025-06-03", 2) == path and (tmp_path / "out" / path.rpartition("/")[2] / "stops" / "_SUCCESS").stat().st_mtime_ns == when
+    tt, transfers = build.opened(spark, path)
+    assert tt.stops.count() == 5 and transfers.count() == 2
+    write_feed(feeds / "one.zip", agency=FEED["agency"].replace("Alpha", "Omega"))
+    assert build.feeds_key(spark, str(feeds), "2025-06-03", 2) != path.rpartition("/")[2] != build.feeds_key(spark, str(feeds), "2025-06-03", 3)
