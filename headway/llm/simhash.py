@@ -2,8 +2,8 @@
 
 Different fingerprints are dealt into tiles by population count. Two fingerprints that differ in at most r bits have
 population counts at most r apart, in all and summed over any parts of the word; so tile pairs whose counts differ by more
-are skipped, and a tile pair is cut by the counts of halves, quarters and bytes until what is left is compared, with
-numpy exclusive-or and bit counts. A pair of tiles answers with a spanning forest of its links, not with all of them,
+are skipped, and large tile pairs are cut by the counts of the word's quarters; what is left is compared, with numpy
+exclusive-or and bit counts. A pair of tiles answers with a spanning forest of its links, not with all of them,
 so a group of thousands of near copies costs thousands of rows.
 
 near_duplicates() groups by the fingerprint alone. keep_first() removes near copies by the similarity of their
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from headway.llm.common import materialize, shuffle_partitions, text_slices, tidy
 from headway.llm.components import components
+from headway.llm.tokens import ragged
 
 SHINGLE, RADIUS = 4, 4
-#: Fingerprints in a tile at most.
-TILE = 1 << 14
+#: Fingerprints in a tile, about: so many that there are TILES tiles, but no fewer than the first and no more than the second.
+TILE, TILES = (1 << 14, 1 << 18), 96
 #: keep_first(): words of a shingle; the least similarity as a fraction; bits that similar sets differ in at most, in
 #: the first word of the wide fingerprint and in all WIDE of them: of small sets, up to SMALL shingles, and of others. At
 #: a similarity of 0.8 a set differs in 39 of 256 bits, with a deviation of 6 (of four or five shingles: 48).
@@ -86,31 +87,33 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(lambda batches: tidy(each(batches)), "doc_id bigint, fp bigint")
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices (into a, into b) of all pairs that differ in `radius` bits or fewer, some at a time. Large pairs of lists
-    are cut by the population counts of halves, quarters and bytes of the word; the rest is compared whole."""
-    todo = [(np.arange(len(a)), np.arange(len(b)), 1)]
-    while todo:
-        x, y, parts = todo.pop()
-        if not len(x) or not len(y):
-            continue
-        if len(x) * len(y) <= most or parts == 8:
-            rows = max(1, most // len(y))
-            for at in range(0, len(x), rows):
-                i, j = np.nonzero(np.bitwise_count(a[x[at : at + rows], None] ^ b[None, y]) <= radius)
-                yield x[at + i], y[j]
-            continue
-        parts *= 2
-        counts = [np.bitwise_count(np.ascontiguousarray(v).view(f"<u{8 // parts}").reshape(-1, parts)).astype(np.int8) for v in (a[x], b[y])]
-        kinds, of = np.unique(counts[0], axis=0, return_inverse=True)
-        others, other_of = np.unique(counts[1], axis=0, return_inverse=True)
-        order, other_order = np.argsort(of.reshape(-1), kind="stable"), np.argsort(other_of.reshape(-1), kind="stable")
-        cuts = np.searchsorted(of.reshape(-1)[order], np.arange(len(kinds) + 1))
-        sizes = np.bincount(other_of.reshape(-1), minlength=len(others))
-        for k, kind in enumerate(kinds):
-            fits = np.abs(others - kind).sum(axis=1) <= radius
-            if fits.any():
-                todo.append((x[order[cuts[k] : cuts[k + 1]]], y[other_order[np.repeat(fits, sizes)]], parts))
+def _quarters(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kinds of population counts of a word's quarters, the indices of the words kind by kind, and where each kind begins."""
+    counts = np.bitwise_count(np.ascontiguousarray(v).view("<u2").reshape(-1, 4)).astype(np.int32)
+    kinds, of = np.unique(counts @ np.array([4913, 289, 17, 1], np.int32), return_inverse=True)
+    return (kinds[:, None] // np.array([4913, 289, 17, 1]) % 17).astype(np.int8), np.argsort(of, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(kinds)))])
+
+
+def near(a: np.ndarray, b: np.ndarray, radius: int, most: int = 1 << 19, whole: int = 1 << 25) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (into a, into b) of all pairs that differ in `radius` bits or fewer, some at a time. Lists of more than `whole`
+    pairs are cut by the population counts of the word's quarters; kinds whose counts differ by more than the radius in sum are skipped."""
+
+    def compare(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows = max(1, most // max(1, len(y)))
+        there = b[y]
+        for at in range(0, len(x), rows):
+            i, j = np.nonzero(np.bitwise_count(a[x[at : at + rows], None] ^ there) <= radius)
+            yield x[at + i], y[j]
+
+    if len(a) * len(b) <= whole:
+        yield from compare(np.arange(len(a)), np.arange(len(b)))
+        return
+    (kinds, order, starts), (others, other_order, other_starts) = _quarters(a), _quarters(b)
+    sizes = np.diff(other_starts)
+    for k, kind in enumerate(kinds):
+        fits = np.flatnonzero(np.abs(others - kind).sum(axis=1, dtype=np.int16) <= radius)
+        if len(fits):
+            yield from compare(order[starts[k] : starts[k + 1]], ragged(other_order, other_starts[:-1], sizes, fits)[0])
 
 
 class Forest:
@@ -154,12 +157,13 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     return i, j - n
 
 
-def tile_pairs(rows: DataFrame, columns: list[str], next_band: bool, radius: int, tile: int) -> DataFrame:
+def tile_pairs(rows: DataFrame, columns: list[str], next_band: bool, radius: int, tile: int | None = None) -> DataFrame:
     """rows: (band int, p int, *columns). Pairs (t1, a, t2, b) of tiles whose rows can be near: a and b are arrays of structs
     of `columns`. A tile has about `tile` rows of one band and neighbouring population counts p; bands are compared with
     themselves and, with next_band, the next one; counts more than `radius` apart aren't."""
     spark = rows.sparkSession
     held = sorted((r["band"], r["p"], r["n"]) for r in rows.groupBy("band", "p").agg(F.count(F.lit(1)).alias("n")).collect())  # bands x 65 rows at most
+    tile = tile or min(max(TILE[0], sum(n for _, _, n in held) // TILES), TILE[1])
     cells, tiles = [], []  # (band, p, first tile, tiles), (tile, band, lowest and highest count)
     for band, p, n in held:
         last = tiles[-1] if tiles else None
@@ -185,7 +189,7 @@ def _fields(cell: pa.ListScalar, names: list[str]) -> list[np.ndarray]:
     return [cell.values.field(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def links(different: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(different: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
     """different: (fp bigint), each once. Links (a, b) that connect what pairs at `radius` bits or fewer connect."""
     rows = different.select(F.lit(0).alias("band"), F.bit_count("fp").cast("int").alias("p"), "fp")
     pairs = tile_pairs(rows, ["fp"], False, radius, tile)
@@ -293,7 +297,7 @@ def close(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tupl
         yield i[fits], order[j[fits]], bits[fits]
 
 
-def candidates(different: DataFrame, nearest: int | None, involved: bool = False, tile: int = TILE) -> DataFrame:
+def candidates(different: DataFrame, nearest: int | None, involved: bool = False, tile: int | None = None) -> DataFrame:
     """different: (key, n, root, words). Pairs (a, b) that may be similar enough and have different roots. nearest: only so many
     for each text and tile pair, those that differ in the fewest bits. involved: also (a, null) for each key that is in any pair."""
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(OF / LEAST)) + F.lit(1e-9)).cast("int")
