@@ -14,7 +14,7 @@ on the sets themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from headway.llm.tokens import ragged
 
 SHINGLE, RADIUS = 4, 4
 #: Fingerprints in a tile, about: so many that there are TILES tiles, but no fewer than the first and no more than the second.
-TILE, TILES = (1 << 14, 1 << 18), 96
+TILE, TILES = (1 << 16, 1 << 18), 96
 #: keep_first(): words of a shingle; the least similarity as a fraction; bits that similar sets differ in at most, in
 #: the first word of the wide fingerprint and in all WIDE of them: of small sets, up to SMALL shingles, and of others. At
 #: a similarity of 0.8 a set differs in 39 of 256 bits, with a deviation of 6 (of four or five shingles: 48).
@@ -37,6 +37,8 @@ WORDS, LEAST, OF = 5, 4, 5
 WIDE, SMALL, FIRST_BITS, ALL_BITS = 4, 32, (27, 22), (88, 68)
 #: Of each text so many nearest ones in a tile pair are checked first; what they join need not be compared again.
 NEAREST = 4
+#: Shingles of a tile's sets at most, where tiles hold these.
+TILE_SHINGLES = 1 << 21
 #: Slots of the bitmap that picks the texts whose sets are needed.
 SLOTS = 1 << 22
 
@@ -157,21 +159,23 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nd
     return i, j - n
 
 
-def tile_pairs(rows: DataFrame, columns: list[str], next_band: bool, radius: int, tile: int | None = None) -> DataFrame:
+def tile_pairs(rows: DataFrame, columns: list[str], next_band: bool, radius: int, tile: int | None = None, most: Callable[[int], int] | None = None) -> DataFrame:
     """rows: (band int, p int, *columns). Pairs (t1, a, t2, b) of tiles whose rows can be near: a and b are arrays of structs
     of `columns`. A tile has about `tile` rows of one band and neighbouring population counts p; bands are compared with
-    themselves and, with next_band, the next one; counts more than `radius` apart aren't."""
+    themselves and, with next_band, the next one; counts more than `radius` apart aren't. most: of a band, the most rows that a tile of
+    it may have."""
     spark = rows.sparkSession
     held = sorted((r["band"], r["p"], r["n"]) for r in rows.groupBy("band", "p").agg(F.count(F.lit(1)).alias("n")).collect())  # bands x 65 rows at most
     tile = tile or min(max(TILE[0], sum(n for _, _, n in held) // TILES), TILE[1])
     cells, tiles = [], []  # (band, p, first tile, tiles), (tile, band, lowest and highest count)
     for band, p, n in held:
+        size = tile if most is None else max(1, min(tile, most(band)))
         last = tiles[-1] if tiles else None
-        if last and last[1] == band and last[4] + n <= tile:
+        if last and last[1] == band and last[4] + n <= size:
             last[3], last[4] = p, last[4] + n
             cells.append((band, p, last[0], 1))
         else:
-            many = -(-n // tile)
+            many = -(-n // size)
             cells.append((band, p, len(tiles), many))
             tiles += [[len(tiles) + k, band, p, p, -(-n // many)] for k in range(many)]
     cell = spark.createDataFrame(cells, "band int, p int, first int, many int")
@@ -297,35 +301,91 @@ def close(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tupl
         yield i[fits], order[j[fits]], bits[fits]
 
 
-def candidates(different: DataFrame, nearest: int | None, involved: bool = False, tile: int | None = None) -> DataFrame:
-    """different: (key, n, root, words). Pairs (a, b) that may be similar enough and have different roots. nearest: only so many
-    for each text and tile pair, those that differ in the fewest bits. involved: also (a, null) for each key that is in any pair."""
+def _banded(different: DataFrame, *more: str) -> DataFrame:
+    """different: (key, n, root, words). With band, so that sets of similar sizes are in one or in neighbours, and p."""
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(OF / LEAST)) + F.lit(1e-9)).cast("int")
-    rows = different.select(band.alias("band"), F.bit_count("w0").cast("int").alias("p"), "key", "n", "root", *_W)
-    names = ["key", "n", "root", *_W]
-    pairs = tile_pairs(rows, names, True, max(FIRST_BITS), tile)
+    return different.select(band.alias("band"), F.bit_count("w0").cast("int").alias("p"), "key", "n", "root", *_W, *more)
+
+
+_NAMES = ["key", "n", "root", *_W]
+
+
+def _tile(cell: pa.ListScalar) -> list[np.ndarray]:
+    columns = _fields(cell, _NAMES)
+    return columns[:3] + [w.view(np.uint64) for w in columns[3:]]
+
+
+def candidates(different: DataFrame, nearest: int = NEAREST, tile: int | None = None) -> DataFrame:
+    """different: (key, n, root, words). Of the pairs (a, b) that may be similar enough, for each text and tile pair `nearest` that differ in the fewest
+    bits; also (a, null) for each key that is in any such pair."""
+    pairs = tile_pairs(_banded(different), _NAMES, True, max(FIRST_BITS), tile)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = (_fields(batch.column(c)[k], names) for c in ("a", "b"))
-                for x in (a, b):
-                    x[3:] = [w.view(np.uint64) for w in x[3:]]
+                a, b = (_tile(batch.column(c)[k]) for c in ("a", "b"))
                 same = batch.column("t1")[k].as_py() == batch.column("t2")[k].as_py()
                 seen = [np.zeros(len(x[0]), bool) for x in (a, b)]
                 for i, j, bits in close(a[1:], b[1:], same):
                     seen[0][i], seen[1][j] = True, True
-                    if nearest is not None and len(i):  # all partners of a row come together
+                    if len(i):  # all partners of a row come together
                         order = np.lexsort((b[0][j], bits, i))
                         i, j = i[order], j[order]
                         starts = np.flatnonzero(np.concatenate([[True], np.diff(i) != 0]))
                         place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
                         i, j = i[place < nearest], j[place < nearest]
-                    if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(a[0][i]), pa.array(b[0][j])], ["a", "b"])
-                if involved:
-                    keys = np.unique(np.concatenate([a[0][seen[0]], b[0][seen[1]]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64())], ["a", "b"])
+                keys = np.unique(np.concatenate([a[0][seen[0]], b[0][seen[1]]]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64())], ["a", "b"])
+
+    return pairs.mapInArrow(lambda batches: tidy(compare(batches)), "a bigint, b bigint")
+
+
+def links_between(different: DataFrame, tile: int | None = None) -> DataFrame:
+    """different: (key, n, root, words, set). Links (a, b) that join all components (roots) that a similar pair joins. The sets are in the tiles and candidates
+    are checked there, by an index of one tile's shingles that gives a set's common shingles with all others at once; a tile pair answers with
+    a spanning forest. Tiles hold TILE_SHINGLES shingles at most, or one set."""
+    rows = _banded(different, "set")
+    most = lambda band: int(TILE_SHINGLES / (OF / LEAST) ** (band + 1))
+    pairs = tile_pairs(rows, [*_NAMES, "set"], True, max(FIRST_BITS), tile, most)
+
+    def sets(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        lists = cell.values.field("set")
+        return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(k, 1) for x in batches for k in range(x.num_rows)):
+            cells = [batch.column(c)[0] for c in ("a", "b")]
+            a, b = map(_tile, cells)
+            same = batch.column("t1")[0].as_py() == batch.column("t2")[0].as_py()
+            shift, index = 0 if same else len(a[0]), None
+            # components that meet in the tiles are one label each from the start
+            label = np.unique(a[2] if same else np.concatenate([a[2], b[2]]), return_inverse=True)[1].reshape(-1)
+            held = Forest(int(label.max(initial=-1)) + 1)
+            out: list[tuple[int, int]] = []
+            for i, j, _ in close(a[1:], b[1:], same):
+                if not len(i):
+                    continue
+                cuts = np.flatnonzero(np.concatenate([[True], np.diff(i) != 0, [True]]))  # all partners of a row come together
+                for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    row, others = int(i[at]), j[at:end]
+                    others = others[held.label[label[row]] != held.label[label[others + shift]]]
+                    if not len(others):
+                        continue
+                    if index is None:
+                        (own, own_at), (flat, ends) = sets(cells[0]), sets(cells[1])
+                        order = np.argsort(flat, kind="stable")
+                        index = flat[order], np.repeat(np.arange(len(ends) - 1), np.diff(ends))[order]
+                    mine = own[own_at[row] : own_at[row + 1]]
+                    lo, hi = np.searchsorted(index[0], mine, "left"), np.searchsorted(index[0], mine, "right")
+                    common = np.bincount(ragged(index[1], lo, hi - lo, np.arange(len(mine)))[0], minlength=len(b[0]))[others]
+                    others = others[(LEAST + OF) * common >= LEAST * (a[1][row].astype(np.int64) + b[1][others])]
+                    if len(others):
+                        others = others[np.unique(held.label[label[others + shift]], return_index=True)[1]]
+                        held.add(np.full(len(others), label[row]), label[others + shift])
+                        out += [(row, other) for other in others.tolist()]
+            i, j = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a[0][i]), pa.array(b[0][j])], ["a", "b"])
 
     return pairs.mapInArrow(lambda batches: tidy(compare(batches)), "a bigint, b bigint")
 
@@ -387,16 +447,14 @@ def roots(documents: DataFrame, text_col: str, different: DataFrame) -> DataFram
     """different: (key, n, words), each key once. (key, root) of the keys that have a near copy: root is the smallest key
     that chains of near copies reach.
 
-    The nearest candidates of each text are checked first, twice; then all candidates that are still in different
-    components. So a group of near copies costs a few links each, and no pair that could join two components is left out."""
-    found = materialize(candidates(different.withColumn("root", F.col("key")), NEAREST, involved=True), "candidates")
+    The nearest candidates of each text are checked first; then all candidates that are still in different components, inside
+    their tiles. So a group of near copies costs a few links each, and no pair that could join two components is left out."""
+    found = materialize(candidates(different.withColumn("root", F.col("key"))), "candidates")
     involved = materialize(found.where("b is null").select(F.col("a").alias("key")).distinct(), "involved")
     sets = materialize(sets_of(documents, text_col, involved), "sets")
     rest = materialize(different.join(involved, "key", "left_semi").withColumn("root", F.col("key")), "rest")
     rest = merged(rest, similar(found.where("b is not null"), sets))
-    for nearest in (NEAREST, None):
-        rest = merged(rest, similar(materialize(candidates(rest, nearest), "candidates"), sets))
-    return rest.select("key", "root")
+    return merged(rest, materialize(links_between(rest.join(sets, "key")), "links")).select("key", "root")
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
