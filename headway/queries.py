@@ -64,10 +64,10 @@ def cartesian_roundtrip(spark, sf_dir):
     return s.select("stop_id", F.round(geo.lat_of(F.col("z")), 6).alias("lat"), F.round(geo.lon_of(F.col("x"), F.col("y")), 6).alias("lon"))
 
 
-@query(f"WITH {STOPS}, {POINTS}, n AS (SELECT query_id, stop_id, {D} AS d FROM pts a JOIN stops b ON {D} <= 1000) SELECT query_id, stop_id, round(d, 3) AS d FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, stop_id) <= 5000")
+@query(f"WITH {STOPS}, {POINTS}, n AS (SELECT query_id, stop_id, {D} AS d FROM pts a JOIN stops b ON {D} <= 1000) SELECT query_id, stop_id, s_name AS name, round(d, 3) AS d FROM n JOIN supplier ON s_suppkey = stop_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, stop_id) <= 5000")
 def nearby_stops(spark, sf_dir):
     tt = timetable.derived(spark, sf_dir)
-    return spatial.nearby(_points(tt), tt.stops).select("query_id", "stop_id", F.round("d", 3).alias("d"))
+    return spatial.nearby(_points(tt), tt.stops).join(tt.stops.select("stop_id", "name"), "stop_id").select("query_id", "stop_id", "name", F.round("d", 3).alias("d"))
 
 
 @query(f"WITH {STOPS}, {POINTS}, n AS (SELECT query_id, stop_id, {D} AS d FROM pts a JOIN stops b ON {D} <= 1500) SELECT query_id, stop_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, stop_id) AS INTEGER) AS rank FROM n QUALIFY rank <= 3")
