@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.llm.common import materialize, shuffle_partitions, text_slices, tidy
-from headway.llm.tokens import SLICE, encoder
+from headway.llm.tokens import encoder
 
 LIMIT = 4096
 END_ID = 1
 BINS, MOST_DOCS = 64, 4
+#: Bytes of text that are encoded together: fewer than the encoder's own, as packing runs beside a JVM that earlier stages filled.
+SLICE = 2 << 20
 #: Free tokens that a sequence laid out by a pattern may keep, tried in turn.
 SLACKS = (0, 2, 8, 32, 128, LIMIT)
 

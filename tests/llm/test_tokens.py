@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from headway.llm import pfor, token_count
+from headway.llm import packing, pfor, token_count
 from headway.llm.packing import LIMIT, pack_documents, patterns, plan
 from headway.llm.token_count import count_tokens
 from headway.llm.token_files import read_token_files, write_token_files
@@ -168,6 +168,24 @@ def test_packing(spark):
     assert pack_documents(df.where("false"), tokenizer_path(NAMES[1])).count() == 0
 
 
+def test_packing_encodes_few_megabytes_at_a_time(spark, monkeypatch):
+    seen, plain = [], packing.encoder
+
+    class Watched:
+        def encode(self, texts):
+            seen.append(sum(map(len, texts.to_pylist())))
+            return plain(tokenizer_path(NAMES[1])).encode(texts)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Watched())
+    rows = spark.createDataFrame([], "doc_id bigint, text string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: f)
+    pieces = packing.cut(rows, tokenizer_path(NAMES[1]))
+    texts = ["word " * 200_000] * 8
+    got = list(pieces(iter([pa.record_batch([pa.array(range(8), pa.int64()), pa.array(texts)], ["doc_id", "text"])])))
+    assert sum(seen) == sum(map(len, texts)) and max(seen) <= 3 << 20
+    assert sorted({i for b in got for i in b.column("doc_id").to_pylist()}) == list(range(8)) and sum(sum(b.column("length").to_pylist()) for b in got) == 8 * 200_001
+
+
 def test_frequent_words_are_those_of_all_rows(spark):
     docs = spark.createDataFrame([("first words",)] * 1500 + [("later text " * 5,)] * 600, "text string").coalesce(1)
     assert set(token_count.frequent_lengths(docs, "text", tokenizer_path("word_bpe_49k.json"), table_size=2)) == {"later", "text"}
