@@ -30,7 +30,9 @@ from headway.llm.common import give_back, shuffle_partitions, text_slices, tidy
 LEAST = 50
 GRAM = 20
 #: Bytes of text that are looked at together, and suffixes that are sorted together if their anchors allow.
-SLICE, SUFFIXES = 1 << 20, 1 << 18
+SLICE, SUFFIXES = 1 << 20, 1 << 16
+#: Bytes of text whose anchors a task holds before it sends them.
+HELD_BYTES = 16 << 20
 #: Bytes of text in a group of documents and for each bucket of anchors, about. A task takes groups one after the other,
 #: so these bound its memory, whatever the number of partitions.
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
@@ -278,7 +280,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
             once = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(h) != 0)])[: len(h)]
             held.append((h[once], batch.column("__g").to_numpy()[doc[once]].astype(kind_of_g)))
             size += len(batch.column("__text")) and len(data)
-            if size >= 64 << 20:
+            if size >= HELD_BYTES:
                 yield out()
                 size = 0
         if held:
@@ -330,6 +332,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
                 items = [(k, d, s, c) for c, (d, owners) in content.items() for k, s in owners]
                 head = struct.pack("<I", len(items)) + np.array([x[0] for x in items], "<u8").tobytes() + np.array([x[1] for x in items], "<i8").tobytes() + np.array([x[2] for x in items], "<u4").tobytes() + np.array([len(x[3]) for x in items], "<u4").tobytes()
                 out.append((b, g, 0, _zip(head + b"".join(x[3] for x in items))))
+            del held, done
         give_back()
         return pa.table({"b": pa.array([x[0] for x in out], pa.int32()), "__g": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "payload": pa.array([x[3] for x in out], pa.binary())})
 
@@ -368,6 +371,7 @@ def repeat_spans(rows: DataFrame, groups: int, buckets: int, least: int, gram: i
         for g, x in own.items():
             spans.setdefault(g, []).append(_pack_spans(x))
         rows_out = [(g, x) for g, xs in spans.items() for x in xs]
+        del held, own, done, spans  # else nothing is free yet
         give_back()
         return pa.table({"__g": pa.array([g for g, _ in rows_out], pa.int32()), "payload": pa.array([x for _, x in rows_out], pa.binary())})
 

@@ -118,6 +118,16 @@ def test_maximal_repeats_have_all_occurrences():
     assert got == [(s, where(s)) for s in (b"XYZ", b"XYZQ", b"abc")]
 
 
+def test_few_suffixes_are_sorted_together():
+    rng = random.Random(6)
+    segments = [bytes(rng.choices(b"abcdefgh", k=80)) for _ in range(4000)]
+    segments += [s[:-1] + b"!" for s in segments]  # so that anchors have two segments each
+    parts = list(suffix_dedup._by_anchor(segments, suffix_dedup.LEAST, suffix_dedup.GRAM))
+    sizes = [sum(len(s) - suffix_dedup.LEAST + 1 for s in part) for part in parts]
+    assert max(sizes) <= 1 << 16 and len({s for part in parts for s in part}) >= 6000
+    assert all(len(part) > 1 for part in parts)
+
+
 def test_ledger(docs):
     got = {(str(r["doc_id"]), r["text"]): r for r in quality.ledger(docs).collect()}
     for i, t, _ in ROWS:
