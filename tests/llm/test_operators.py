@@ -342,6 +342,30 @@ def test_audio_finds_what_all_offsets_find(spark):
         assert (r["best_match"], r["offset"]) == (other, offset) == (i + 3, r["offset"]) and abs(r["bit_error"] - error) < 1e-9
 
 
+@pytest.mark.parametrize("most", [1, 40, 1000, 1 << 20])
+def test_blocks_of_codes_find_what_all_offsets_find(spark, most):
+    rng = np.random.default_rng(most)
+    prints = [rng.choice([0, 0, 1, 3, 2**31 + 1, 2**32 - 1], rng.integers(1, 60)).astype(np.uint32) for _ in range(24)]
+    prints += [np.concatenate([rng.integers(0, 2**32, 5, dtype=np.uint32), p[3:]]) for p in prints[:8] if len(p) > 3] + [np.zeros(90, np.uint32), np.zeros(120, np.uint32)]
+    want = {}
+    for i, x in enumerate(prints[:12] + prints[-2:]):
+        for j, y in enumerate(prints):
+            for d in range(-len(x) + 1, len(y)):
+                a, b = x[max(0, -d) :], y[max(0, d) :]
+                m = min(len(a), len(b))
+                if m >= 16 and (a[:m] == b[:m]).sum() >= 3 and (error := float(np.bitwise_count(a[:m] ^ b[:m]).sum()) / (32 * m)) <= 0.3:
+                    want[i, j] = min((error, d), want.get((i, j), (2.0, 0)))
+    parts = list(audio.aligned(prints[:12] + prints[-2:], prints, 0.3, 3, 16, most))
+    got = [(q, o, error, d) for part in parts for q, o, d, error in zip(*(v.tolist() for v in part), strict=True)]
+    assert len(want) > 30 and sorted(got) == sorted((i, j, *v) for (i, j), v in want.items())
+
+
+def test_equal_codes_of_recordings_make_no_rows(spark):
+    classes = spark.createDataFrame([(i, [7] * 3 + [i * 100 + k for k in range(8, 40)], i % 20 == 0) for i in range(200)], "class_id bigint, codes array<bigint>, asked boolean")
+    found = audio.links(classes, 0.01, 3, 16)
+    assert found.count() == 0 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_audio_defined_cases(spark):
     rng = np.random.default_rng(9)
     sound = rng.standard_normal(60_000) * 0.2
