@@ -12,7 +12,7 @@ from __future__ import annotations
 import io
 import struct
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,14 +128,20 @@ def codes(samples: np.ndarray) -> np.ndarray:
 def fingerprint(recordings: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     """(id, codes array<bigint>) of PCM WAV files. Null audio, files that can't be read and recordings too short have no
     codes; long ones are read whole, each alone. Other columns are left out, whatever their names."""
+    rows = recordings.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{audio_col}`").alias("audio"))
+    return fingerprint_made(rows, lambda batch: (v.as_py() for v in batch.column("audio")))
+
+
+def fingerprint_made(rows: DataFrame, files: Callable[[pa.RecordBatch], Iterable[bytes | None]]) -> DataFrame:
+    """The same of the WAV files that `files` makes of a batch of rows, one for each row. rows: (id bigint, any others). A
+    file is made in the worker that hears it, one at a time, and no sound passes through Spark."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 32) for b in batches for k in range(0, b.num_rows, 32)):
-            sounds = (pcm(x) if x else None for x in (v.as_py() for v in batch.column("audio")))
+            sounds = (pcm(x) if x else None for x in files(batch))
             found = [np.zeros(0, np.int64) if x is None else codes(x).astype(np.int64) for x in sounds]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "codes"])
 
-    rows = recordings.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{audio_col}`").alias("audio"))
     return rows.mapInArrow(lambda batches: tidy(each(batches)), "id bigint, codes array<bigint>")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,46 +26,56 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-def sonify(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, audio): each vector as a WAV file of 16 notes. A number of the vector is the loudness of one partial
-    of a note; null or empty vectors have null audio. So that recordings overlap, one with id % 4 = 3 plays its own first 4
-    notes and then, with some noise, all but the first 2 notes of the vector whose id is smaller by 3, if there is one."""
-    t = np.arange(int(NOTE_S * audio.RATE)) / audio.RATE
+def scores(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, vector, before): what `wavs` plays. before is the vector whose id is smaller by 3, for those with id % 4 = 3."""
+    own = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    before = own.where("id % 4 = 0").groupBy((F.col("id") + 3).alias("id")).agg(F.max("vector").alias("before"))
+    return own.join(before, "id", "left")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tones: dict[int, np.ndarray] = {}
 
-        def play(x: np.ndarray) -> np.ndarray:
-            per = -(-len(x) // NOTES)
-            if per not in tones:
-                k = np.arange(NOTES * per).reshape(NOTES, per)
-                tones[per] = np.sin(2 * np.pi * (110 * 2 ** ((k * 7 % 12) / 12 + k % 3))[:, :, None] * t)
-            loud = np.pad(x, (0, NOTES * per - len(x))).reshape(NOTES, per)
-            return np.einsum("np,npt->nt", loud / max(1e-9, np.abs(loud).sum(axis=1).max()), tones[per])
+@lru_cache(maxsize=2)  # a vector and the one before it may differ in length
+def _tones(per: int) -> np.ndarray:
+    """(NOTES, per, samples): the partials of each note."""
+    k = np.arange(NOTES * per).reshape(NOTES, per)
+    return np.sin(2 * np.pi * (110 * 2 ** ((k * 7 % 12) / 12 + k % 3))[:, :, None] * (np.arange(int(NOTE_S * audio.RATE)) / audio.RATE))
+
+
+def wavs(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """Each row of scores as a WAV file of 16 notes, made when it is asked for. A number of the vector is the loudness of one
+    partial of a note; null or empty vectors have none. So that recordings overlap, one with a vector before plays its own
+    first 4 notes and then, with some noise, all but the first 2 notes of that vector."""
+
+    def play(x: np.ndarray) -> np.ndarray:
+        per = -(-len(x) // NOTES)
+        loud = np.pad(x, (0, NOTES * per - len(x))).reshape(NOTES, per)
+        return np.einsum("np,npt->nt", loud / max(1e-9, np.abs(loud).sum(axis=1).max()), _tones(per))
 
+    for i, *both in zip(*(batch.column(c).to_pylist() for c in ("id", "vector", "before")), strict=True):
+        own, before = (np.array([0.0 if y is None else y for y in v or []], float) for v in both)
+        if not len(own):
+            yield None
+            continue
+        sound = play(own)
+        if len(before):
+            sound = np.concatenate([sound[:4], play(before)[2:]])
+            sound += 0.002 * np.random.default_rng(i % 2**32).standard_normal(sound.shape)
+        yield audio.wav(sound.reshape(-1))
+
+
+def sonify(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, audio): the WAV files themselves, as `wavs` makes them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 32) for b in batches for k in range(0, b.num_rows, 32)):
-            out = []
-            for i, *both in zip(*(batch.column(c).to_pylist() for c in ("id", "vector", "before")), strict=True):
-                own, before = (np.array([0.0 if y is None else y for y in v or []], float) for v in both)
-                if not len(own):
-                    out.append(None)
-                    continue
-                sound = play(own)
-                if len(before):
-                    sound = np.concatenate([sound[:4], play(before)[2:]])
-                    sound += 0.002 * np.random.default_rng(i % 2**32).standard_normal(sound.shape)
-                out.append(audio.wav(sound.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "audio"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(wavs(batch)), pa.binary())], ["id", "audio"])
 
-    own = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
-    before = own.where("id % 4 = 0").groupBy((F.col("id") + 3).alias("id")).agg(F.max("vector").alias("before"))
-    return own.join(before, "id", "left").mapInArrow(lambda batches: tidy(each(batches)), "id bigint, audio binary")
+    return scores(vectors, id_col, vector_col).mapInArrow(lambda batches: tidy(each(batches)), "id bigint, audio binary")
 
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no sound, so every row of embeddings is played: its vector becomes a recording."""
-    recordings = sonify(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    found = audio.search(audio.fingerprint(recordings, "id", "audio"), "id % 20 = 0")
+    prints = audio.fingerprint_made(scores(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), wavs)
+    found = audio.search(prints, "id % 20 = 0")
     return found.withColumnRenamed("id", "vec_id").withColumn("bit_error", F.round("bit_error", 6))
 
 

@@ -366,6 +366,21 @@ def test_equal_codes_of_recordings_make_no_rows(spark):
     assert found.count() == 0 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sound_is_made_where_it_is_heard(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.standard_normal(64).tolist()) for i in range(60)] + [(20, None), (None, rng.standard_normal(64).tolist()), (60, []), (61, [0.5, None]), (3, rng.standard_normal(200).tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    keep, plans = audio.materialize, {}
+    monkeypatch.setattr(audio, "materialize", lambda df, what: plans.setdefault(what, df) and keep(df, what))
+    got = queries.op2_audio(spark, str(tmp_path)).collect()
+    want = keep(audio.fingerprint(queries.sonify(vectors, "vec_id", "embedding"), "id", "audio"), "prints")
+    assert sorted(map(str, plans["prints"].collect())) == sorted(map(str, want.collect())) and plans["prints"].count() == len(rows)
+    assert sorted(str((r["vec_id"], r["class_id"], r["n_links"], r["best_match"], r["offset"])) for r in got) == sorted(str((r["id"], r["class_id"], r["n_links"], r["best_match"], r["offset"])) for r in audio.search(want, "id % 20 = 0").collect())
+    plan = plans["prints"]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "audio#" not in plan
+
+
 def test_audio_defined_cases(spark):
     rng = np.random.default_rng(9)
     sound = rng.standard_normal(60_000) * 0.2
