@@ -46,11 +46,16 @@ def accessible(edges: DataFrame, nodes: DataFrame, tiles: DataFrame | None = Non
     return ok if tiles is None else ok.join(tiles.select(F.col("tile").alias("end_tile")), "end_tile", "left_semi")
 
 
-def shape_length_mm(shape: Column) -> Column:
-    """Whole millimetres along a shape (array of structs lat, lon) on the sphere; an error where that exceeds 32 bits."""
+def shape_length(shape: Column) -> Column:
+    """Metres along a shape (array of structs lat, lon) on the sphere, however long."""
     step = lambda p, k: great_circle(F.get(shape, k)["lat"], F.get(shape, k)["lon"], p["lat"], p["lon"])
     steps = F.transform(F.slice(shape, 2, F.greatest(F.size(shape) - 1, F.lit(0))), step)
-    mm = F.floor(F.round(F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) * 1000, 3)).cast("bigint")
+    return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def shape_length_mm(shape: Column) -> Column:
+    """Whole millimetres along a street edge's shape; an error where that exceeds 32 bits."""
+    mm = F.floor(F.round(shape_length(shape) * 1000, 3)).cast("bigint")
     return F.when(mm > LAST_SECOND, F.raise_error(F.lit("edge too long")).cast("bigint")).otherwise(mm)
 
 

@@ -262,3 +262,23 @@ def test_builds_are_taken_up_again(spark, tmp_path):
     assert tt.stops.count() == 5 and transfers.count() == 2
     write_feed(feeds / "one.zip", agency=FEED["agency"].replace("Alpha", "Omega"))
     assert build.feeds_key(spark, str(feeds), "2025-06-03", 2) != path.rpartition("/")[2] != build.feeds_key(spark, str(feeds), "2025-06-03", 3)
+
+
+def copied(tmp_path, **changed):
+    """The smallest tables with some replaced by what SQL selects from them; their folder and a connection that has them."""
+    con = duckdb.connect()
+    for t in "region nation customer supplier orders".split():
+        con.execute(f"copy ({changed.get(t, 'select * from t').replace('from t', f"from read_parquet('{SF}/{t}.parquet') t")}) to '{tmp_path}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet')")
+    return str(tmp_path), con
+
+
+def same_as_sql(spark, folder, con, name):
+    got, want = queries.QUERIES[name](spark, folder).toPandas(), con.sql(queries.ORACLES[name]).df()
+    assert len(want) and rows(got, sorted(got.columns)) == rows(want, sorted(want.columns))
+    return got
+
+
+def test_lines_longer_than_street_edges_may_be(spark, tmp_path):
+    got = same_as_sql(spark, *copied(tmp_path, supplier="select * replace (s_suppkey * 20000 as s_suppkey) from t"), "shape_lengths")
+    assert got["metres"].max() > 4_294_967.295
