@@ -157,11 +157,12 @@ def counters(labels: DataFrame) -> DataFrame:
     return labels.groupBy("query_id", "round").agg(F.count_distinct("stop_id").alias("improved"), F.count_if(F.col("kind") == "transit").alias("rides"), F.count_if(F.col("kind") == "transfer").alias("walks"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-def reach(labels: DataFrame, targets: DataFrame) -> DataFrame:
-    """(query_id, targets, reached, rounds): how many of a query's targets transit reaches, and the last round that improved one; null if none."""
-    at = labels.where("kind = 'transit'").select("query_id", "stop_id", "round")
-    per = targets.select("query_id", "stop_id").distinct().join(at.groupBy("query_id", "stop_id").agg(F.max("round").alias("round")), ["query_id", "stop_id"], "left")
-    return per.groupBy("query_id").agg(F.count(F.lit(1)).alias("targets"), F.count("round").alias("reached"), F.max("round").alias("rounds"))
+def reach(labels: DataFrame, targets: DataFrame, asked: DataFrame) -> DataFrame:
+    """targets: (query_id, stop_id), those that no ride reaches may be left out; asked: (query_id, targets), how many a query has with those. (query_id, targets,
+    reached, rounds): how many of a query's targets transit reaches, and the last round that improved one; null if none."""
+    at = labels.where("kind = 'transit'").groupBy("query_id", "stop_id").agg(F.max("round").alias("round")).join(targets.select("query_id", "stop_id").distinct(), ["query_id", "stop_id"])
+    per = at.groupBy("query_id").agg(F.count("round").alias("reached"), F.max("round").alias("rounds"))
+    return asked.join(per, "query_id", "left").select("query_id", "targets", F.coalesce("reached", F.lit(0)).cast("bigint").alias("reached"), "rounds")
 
 
 def pick_itineraries(labels: DataFrame, targets: DataFrame, scalars: tuple[float, ...], max_rounds: int, delta: int) -> DataFrame:
