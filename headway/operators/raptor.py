@@ -3,7 +3,7 @@
 State is the best time of each (query, stop) and the frontier, what the last round improved. A round boards
 at frontier stops (the earliest trip of each line and place that leaves in time), rides downstream, keeps
 the best arrival of each stop, then walks once. Only improvements go on, so joins shrink with each round.
-Timetable rows are found by equi-join on stop and trip.
+Timetable rows are found by equi-join on stop and trip; of the times at a place those of the label's slot of time and one of each later slot.
 
 A label is named by query, round, kind and stop, and holds the name of the label it came from, so a row is a few
 numbers however long the journey; unwind() follows the names back for the labels that are picked.
@@ -22,23 +22,50 @@ from headway.plans.lineage import cut
 #: kind of the label there.
 CAME = ("trip_id", "seq", "other_seq", "other", "other_t", "other_kind")
 LABEL = ("query_id", "stop_id", "t", "kind", *CAME)
+#: Seconds of a slot of time; any length gives the same boardings.
+SLOT_S = 1800
 
 
 def _in_reach(wait, horizon: int | None):
     return F.lit(True) if horizon is None else wait <= horizon
 
 
-def earliest_trips(frontier: DataFrame, stop_times: DataFrame, horizon: int | None = None) -> DataFrame:
+def time_slots(stop_times: DataFrame, back: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What boardings (backward: alightings) look through: (stop_id, line_id, seq, slot, dep or arr, trip_id) of every time at a place, of equal ones the trip that
+    ties go to; and of each slot of time the one that a label from another slot takes. So a label meets the times of its own slot and one of each other slot,
+    however many trips there are."""
+    at, first = ("arr", F.max) if back else ("dep", F.min)
+    every = stop_times.groupBy("stop_id", "line_id", "seq", at).agg(first("trip_id").alias("trip_id")).withColumn("slot", _slot(at))
+    edge = every.groupBy("stop_id", "line_id", "seq", "slot").agg(first(F.struct(at, "trip_id")).alias("e"))
+    return every, edge.select("stop_id", "line_id", "seq", "slot", "e.*")
+
+
+def _slot(t: str):
+    return F.floor(F.col(t) / SLOT_S)
+
+
+def _found(frontier: DataFrame, slots: tuple[DataFrame, DataFrame], back: bool, horizon: int | None) -> DataFrame:
+    """The times that a frontier can take and that may be the best of their place."""
+    every, edge = slots
+    near = frontier.select("query_id", "stop_id", "t", "kind", _slot("t").alias("slot"))
+    in_time = F.col("arr") <= F.col("t") if back else F.col("dep") >= F.col("t")
+    same = near.join(every, ["stop_id", "slot"]).where(in_time)
+    beyond = near.withColumnRenamed("slot", "own").join(edge, "stop_id").where(F.col("slot") < F.col("own") if back else F.col("slot") > F.col("own")).drop("own")
+    wait = F.col("t") - F.col("arr") if back else F.col("dep") - F.col("t")
+    return same.unionByName(beyond).where(_in_reach(wait, horizon))
+
+
+def earliest_trips(frontier: DataFrame, stop_times: DataFrame, horizon: int | None = None, slots: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """frontier: (query_id, stop_id, t, kind). For each (query, line, place): the earliest trip that leaves a frontier stop at its time
-    or later, ties by trip. horizon: the most seconds to wait, unbounded by default."""
-    found = frontier.select("query_id", "stop_id", "t", "kind").join(stop_times.select("stop_id", "trip_id", "line_id", "seq", "dep"), "stop_id").where((F.col("dep") >= F.col("t")) & _in_reach(F.col("dep") - F.col("t"), horizon))
+    or later, ties by trip. horizon: the most seconds to wait, unbounded by default. slots: time_slots() of the stop_times, if they are there."""
+    found = _found(frontier, slots or time_slots(stop_times), False, horizon)
     best = F.min(F.struct("dep", "trip_id", "stop_id", "kind"))
     return found.groupBy("query_id", "line_id", "seq").agg(best.alias("b")).select("query_id", "line_id", F.col("seq").alias("board_seq"), "b.trip_id", F.col("b.stop_id").alias("board_stop"), F.col("b.dep").alias("board_dep"), F.col("b.kind").alias("board_kind"))
 
 
-def latest_trips(frontier: DataFrame, stop_times: DataFrame, horizon: int | None = None) -> DataFrame:
+def latest_trips(frontier: DataFrame, stop_times: DataFrame, horizon: int | None = None, slots: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The mirror image: the latest trip that arrives at a frontier stop in time, ties by the larger trip."""
-    found = frontier.select("query_id", "stop_id", "t", "kind").join(stop_times.select("stop_id", "trip_id", "line_id", "seq", "arr"), "stop_id").where((F.col("arr") <= F.col("t")) & _in_reach(F.col("t") - F.col("arr"), horizon))
+    found = _found(frontier, slots or time_slots(stop_times, back=True), True, horizon)
     best = F.max(F.struct("arr", "trip_id", "stop_id", "kind"))
     return found.groupBy("query_id", "line_id", "seq").agg(best.alias("b")).select("query_id", "line_id", F.col("seq").alias("alight_seq"), "b.trip_id", F.col("b.stop_id").alias("alight_stop"), F.col("b.arr").alias("alight_arr"), F.col("b.kind").alias("alight_kind"))
 
@@ -90,6 +117,8 @@ def search(start: DataFrame, stop_times: DataFrame, transfers: DataFrame, rounds
 
     nothing = {"trip_id": "bigint", "seq": "int", "other_seq": "int", "other": "bigint", "other_t": "bigint", "other_kind": "string"}
     begin = start.select("query_id", "stop_id", "t", F.lit("start").alias("kind"), *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()])
+    every, edge = time_slots(stop_times, back)
+    slots = (cut(every), cut(edge))
     frontiers = [cut(best_of(begin))]
     labels, reached = [frontiers[0].withColumn("round", F.lit(0))], []
     for r in range(1, rounds + 1):
@@ -98,9 +127,9 @@ def search(start: DataFrame, stop_times: DataFrame, transfers: DataFrame, rounds
             ended = reduce(DataFrame.unionByName, reached).groupBy("query_id").agg(F.min("round").alias("first")).where(F.col("first") + delta <= r)
             frontier = frontier.join(ended, "query_id", "left_anti")
         if back:
-            moved = ride_back(latest_trips(frontier, stop_times, horizon), stop_times)
+            moved = ride_back(latest_trips(frontier, stop_times, horizon, slots), stop_times)
         else:
-            boardings = earliest_trips(frontier, stop_times, horizon)
+            boardings = earliest_trips(frontier, stop_times, horizon, slots)
             moved = ride(one_boarding(boardings) if one_per_line else boardings, stop_times)
         known = reduce(DataFrame.unionByName, [f.select("query_id", "stop_id", "t") for f in frontiers]).groupBy("query_id", "stop_id").agg((F.max if back else F.min)("t").alias("known"))
         improves = F.col("known").isNull() | better(F.col("t"), F.col("known"))

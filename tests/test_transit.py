@@ -328,3 +328,22 @@ def test_trips_that_run_alike_are_stored_by_first_and_last(spark, tmp_path, name
     assert {r[0] for r in tt.trips.select("service_dow").distinct().collect()} == {queries.DOW}
     assert tt.stop_times.groupBy("line_id", "seq", "stop_id", "dep").count().agg(F.max("count")).first()[0] == 2
     assert tt.trips.count() == con.execute(f"select count(*) from orders where o_orderkey % 7 = {queries.DOW}").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("back", [False])
+def test_a_label_meets_few_of_the_times_at_a_stop(spark, back):
+    """Against all times, over slots, waits, places a line calls at twice and times before 0."""
+    trips = [(i, i % 2, (i * 37 % 400 - 60) * 120) for i in range(800)]
+    times = spark.createDataFrame([(trip, line, seq, seq % 2, start + 60 * seq, start + 60 * seq + 20) for trip, line, start in trips for seq in range(3)], "trip_id bigint, line_id bigint, seq int, stop_id bigint, arr bigint, dep bigint")
+    frontier = spark.createDataFrame([(q, stop, t, "start") for q, t in enumerate((-9_000, -1, 0, 1_799, 1_800, 20_000, 40_000, 99_000)) for stop in (0, 1)], "query_id bigint, stop_id bigint, t bigint, kind string")
+    con, at, pick = duckdb.connect(), *(("arr", "max") if back else ("dep", "min"))
+    con.register("st", times.toPandas())
+    con.register("f", frontier.toPandas())
+    for horizon in (None, 100, 5_000):
+        df = (raptor.latest_trips if back else raptor.earliest_trips)(frontier, times, horizon)
+        wait = f"t - {at}" if back else f"{at} - t"
+        want = con.execute(f"select query_id, line_id, seq, {pick}({{'at': {at}, 'trip': trip_id, 'stop': stop_id}}) as b from f join st using (stop_id) where {wait} between 0 and {1 << 60 if horizon is None else horizon} group by all").fetchall()
+        got = [(r["query_id"], r["line_id"], r["alight_seq" if back else "board_seq"], {"at": r["alight_arr" if back else "board_dep"], "trip": r["trip_id"], "stop": r["alight_stop" if back else "board_stop"]}) for r in df.collect()]
+        assert want and sorted(got, key=str) == sorted(want, key=str)
+    every = con.execute(f"select count(*) from f join st using (stop_id) where {'t - arr' if back else 'dep - t'} >= 0").fetchall()[0][0]
+    assert raptor._found(frontier, raptor.time_slots(times, back), back, None).count() * 10 < every
