@@ -330,7 +330,7 @@ def test_trips_that_run_alike_are_stored_by_first_and_last(spark, tmp_path, name
     assert tt.trips.count() == con.execute(f"select count(*) from orders where o_orderkey % 7 = {queries.DOW}").fetchall()[0][0]
 
 
-@pytest.mark.parametrize("back", [False])
+@pytest.mark.parametrize("back", [False, True])
 def test_a_label_meets_few_of_the_times_at_a_stop(spark, back):
     """Against all times, over slots, waits, places a line calls at twice and times before 0."""
     trips = [(i, i % 2, (i * 37 % 400 - 60) * 120) for i in range(800)]
